@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoa.llm import langid, simhash, token_codes, toxicity
+from stoa.llm import langid, simhash, suffix_dedup, token_codes, toxicity
 from stoa.session import table
 
 
@@ -35,6 +35,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), n=200))
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
     """Trained on labelled documents that aren't held out."""
     wanted = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_codes": op1_token_codes,
     "op2_language_id": op2_language_id,
     "op5_simhash": op5_simhash,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
