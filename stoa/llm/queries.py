@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoa.llm import langid, simhash, suffix_dedup, token_codes, toxicity
+from stoa.llm import decontaminate, langid, licenses, mixing, sharding, simhash, suffix_dedup, token_codes, topk, toxicity
 from stoa.session import table
 
 
@@ -31,14 +31,39 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.with_language(docs.select("doc_id", "text"), model).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.sharded(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each notice: its document, license, coverage of the template and place."""
+    found = licenses.with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.explode("licenses").alias("l")).select("doc_id", "l.*")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), n=200))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item found in it; clean documents have none."""
+    return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
     """Trained on labelled documents that aren't held out."""
     wanted = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -56,8 +81,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_codes": op1_token_codes,
     "op2_language_id": op2_language_id,
+    "op3_exact_top_k": op3_exact_top_k,
+    "op4_ring_shards": op4_ring_shards,
     "op5_simhash": op5_simhash,
+    "op6_license_scan": op6_license_scan,
+    "op7_mixing": op7_mixing,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
 
