@@ -115,7 +115,7 @@ IOU = f"""{PRED}, k AS (SELECT CAST(i AS INT) AS class FROM range(10) t(i)), c A
 
 def _iou(spark, sf):
     p = _predictions(spark, sf)
-    sides = p.select(F.explode(F.array(F.struct(F.col("gt").alias("class"), F.lit(1).alias("g"), F.lit(0).alias("q")), F.struct(F.col("pred"), F.lit(0), F.lit(1)))).alias("s"), (F.col("gt") == F.col("pred")).alias("hit"))
+    sides = p.select(F.explode(F.array(F.struct(F.col("gt").alias("class"), F.lit(1).alias("g"), F.lit(0).alias("q")), F.struct(F.col("pred").alias("class"), F.lit(0).alias("g"), F.lit(1).alias("q")))).alias("s"), (F.col("gt") == F.col("pred")).alias("hit"))
     sums = sides.groupBy("s.class").agg(F.sum("s.g").alias("g"), F.sum("s.q").alias("q"), F.sum(F.when(F.col("hit"), F.col("s.g")).otherwise(0)).alias("tp"))
     classes = spark.range(10).select(F.col("id").cast("int").alias("class"))
     return classes.join(sums, "class", "left").na.fill(0).withColumn("union", F.col("g") + F.col("q") - F.col("tp"))
@@ -153,10 +153,10 @@ def weighted_caption_loss(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("caption_id")).agg(F.round(F.sum(F.col("l_quantity") * F.col("l_tax")) / F.sum("l_quantity"), 6).alias("loss"))
 
 
-@query("""SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING),6) AS mean FROM events""")
+@query("""SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING),9) AS mean FROM events""")
 def running_average(spark, sf):
     own = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf, "events").select("event_id", F.round(F.avg("value").over(own), 6).alias("mean"))
+    return table(spark, sf, "events").select("event_id", F.round(F.avg("value").over(own), 9).alias("mean"))
 
 
 @query("""WITH m AS (SELECT label, embedding_mean FROM (SELECT label, list(e ORDER BY k) AS embedding_mean FROM (SELECT label, k, avg(CAST(embedding[k] AS DOUBLE)) e FROM embeddings, range(1,65) t(k) GROUP BY 1,2) GROUP BY label))

@@ -23,7 +23,7 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
     def plain(v):
         if isinstance(v, float):
             return None if v != v else round(v, 9)
-        if v is None or v is pd.NaT:
+        if v is None or v is pd.NaT or v is pd.NA:
             return None
         if hasattr(v, "tolist"):
             v = v.tolist()
@@ -47,5 +47,6 @@ def difference(spark, con, query, sql: str, sf_dir: str) -> str | None:
             return f"type of {c}: {got[c].dtype} and {want[c].dtype}"
     a, b = rows(got), rows(want)
     if a != b:
-        return f"{len(a)} and {len(b)} rows; first {[x for x in a if x not in set(b)][:2]} and {[x for x in b if x not in set(a)][:2]}"
+        sa, sb = set(a), set(b)
+        return f"{len(a)} and {len(b)} rows; first {[x for x in a if x not in sb][:2]} and {[x for x in b if x not in sa][:2]}"
     return None
