@@ -225,15 +225,14 @@ def repeated_spans(docs: DataFrame, n: int = 200, hot_segments: int = 65_536) ->
 
     shape = "key long, own long, d long, k1 long, k2 long, first int, windows int"
     found = written(docs.select("doc_id", "k1", "k2", "text").mapInArrow(cut, shape), "segments")
-    merged = found.groupBy("key", "own").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "k1", "k2", "first")).alias("at"), F.first("windows").alias("windows")
-    )
+    merged = found.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n"))
     keys = merged.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("rows")).where("rows > 1")
-    alike = written(merged.join(keys.select("key", "kinds"), "key").select("key", "own", "n", "kinds", "windows", "at.*"), "repeats")
+    alike = merged.join(keys.select("key", "kinds"), "key")
+    again = written(found.join(alike, ["key", "own"]), "repeats")
 
     # the bytes of different segments under one key, taken from the row that each was first seen in
-    wanted = alike.where("kinds > 1").groupBy("d", "k1", "k2").agg(F.collect_set(F.struct("key", "own", "first", "windows", (F.col("kinds") > hot_segments).alias("hot"))).alias("want"))
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "k1", "k2", "text")
+    firsts = again.where("kinds > 1").groupBy("key", "own").agg(F.min(F.struct("d", "k1", "k2", "first", "windows", "kinds")).alias("at")).select("key", "own", "at.*")
+    wanted = firsts.groupBy("d", "k1", "k2").agg(F.collect_set(F.struct("key", "own", "first", "windows", (F.col("kinds") > hot_segments).alias("hot"))).alias("want"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,7 +254,9 @@ def repeated_spans(docs: DataFrame, n: int = 200, hot_segments: int = 65_536) ->
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["key", "own", "place", "windows", "part"])
 
-    parts = texts.join(wanted, ["d", "k1", "k2"]).select("text", "want").mapInArrow(fetch, "key long, own long, place int, windows int, part binary")
+    # the texts are dealt by (k1, k2) here and where spans come back to them: one exchange serves both
+    texts = docs.join(wanted, ["k1", "k2"]).where(F.coalesce("doc_id", F.lit(-(2**63))) == F.col("d"))
+    parts = texts.select("text", "want").mapInArrow(fetch, "key long, own long, place int, windows int, part binary")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -288,9 +289,9 @@ def repeated_spans(docs: DataFrame, n: int = 200, hot_segments: int = 65_536) ->
     hot = parts.where("place >= 0").select("key", "own", "place", F.xxhash64("part").alias("w"), F.crc32("part").alias("c"))
     twins = hot.groupBy("key", "w", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     warm = hot.join(twins, ["key", "w", "c"]).groupBy("key", "own").agg(F.transform(F.collect_set("place"), lambda p: F.struct(p.alias("a"), p.alias("b"))).alias("runs"))
-    alone = alike.where("n > 1").select("key", "own", F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"))).alias("runs"))
+    alone = again.where("n > 1").groupBy("key", "own").agg(F.max("windows").alias("windows")).select("key", "own", F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"))).alias("runs"))
     runs = alone.unionByName(cool).unionByName(warm)
-    spans = found.join(runs, ["key", "own"]).select("k1", "k2", F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b"))).alias("runs"))
+    spans = again.select("key", "own", "k1", "k2", "first").join(runs, ["key", "own"]).select("k1", "k2", F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b"))).alias("runs"))
     return spans.select("k1", "k2", F.explode("runs").alias("run")).groupBy("k1", "k2").agg(F.collect_set("run").alias("spans"))
 
 
