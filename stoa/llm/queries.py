@@ -67,7 +67,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
     """Trained on labelled documents that aren't held out."""
     wanted = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(~_held_out()).select("doc_id", "text").join(wanted, "doc_id").select("text", "toxic")
+    rows = docs.where(~_held_out()).select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select("text", "toxic")  # one plan at every size
     return toxicity.train(rows)
 
 
