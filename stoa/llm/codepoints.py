@@ -14,11 +14,10 @@ _BREAK = 10  # between two documents: a line feed, which is in no word
 @cache
 def letters() -> tuple[np.ndarray, np.ndarray]:
     """``(is a letter, its lower case)`` for every code point; a case pair that isn't one to one keeps its form."""
-    points = [chr(i) for i in range(0x110000)]
-    alpha = np.fromiter((c.isalpha() for c in points), bool, 0x110000)
+    alpha = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
     lower = np.arange(0x110000, dtype=np.uint32)
     for i in np.flatnonzero(alpha).tolist():
-        low = points[i].lower()
+        low = chr(i).lower()
         if len(low) == 1:
             lower[i] = ord(low)
     return alpha, lower

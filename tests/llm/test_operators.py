@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from stoa.llm import decontaminate, langid, licenses, mixing, sharding, simhash, suffix_dedup, token_codes, topk, toxicity
+from stoa.llm import decontaminate, langid, licenses, mixing, sharding, simhash, suffix_dedup, token_codes, token_files, topk, toxicity
 from stoa.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, source string"
@@ -51,8 +51,8 @@ def test_codes_random_access():
     rng = np.random.default_rng(1)
     for n in (0, 1, 511, 512, 513, 3000):
         ids = (rng.integers(0, 2**32, n) >> rng.integers(0, 32, n)).astype(np.uint32)
-        codes, used = token_codes.Codes.from_bytes(memoryview(token_codes.Codes.of(ids).to_bytes()))
-        assert used == len(token_codes.Codes.of(ids).to_bytes())
+        codes, used = token_files.Codes.from_bytes(memoryview(token_files.Codes.of(ids).to_bytes()))
+        assert used == len(token_files.Codes.of(ids).to_bytes())
         assert [codes[i] for i in range(0, n, 7)] == ids[::7].tolist()
         for a, b in ((0, n), (n // 3, n // 2), (n, n)):
             assert codes.slice(a, b).tolist() == ids[a:b].tolist()
