@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18  # a task holds some tens of bytes a character of one slice
 _BREAK = 10  # between two documents: a line feed, which is in no word
 
 
@@ -28,7 +28,7 @@ def digits() -> np.ndarray:
     return np.fromiter((chr(i).isdigit() for i in range(0x110000)), bool, 0x110000)
 
 
-def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
+def slices(texts: Iterable[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
     """``(first index, texts)`` in runs of about ``chars`` characters; null is empty. A longer text is a run of its own."""
     at, held, n = 0, [], 0
     for i, t in enumerate(texts):

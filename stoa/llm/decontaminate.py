@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +68,13 @@ class Probes:
     place: np.ndarray
     q: int
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        """By a hash's high bits: whether any q-gram has them. Built where it is used, once a task."""
+        out = np.zeros(1 << 22, bool)
+        out[(self.grams >> np.uint64(42)).astype(np.int64)] = True
+        return out
+
     @classmethod
     def of(cls, items: list[tuple[int, str]], q: int, length: int, errors: float) -> Probes:
         """Probes start every half length and end with the item. An item of fewer than ``q`` characters has none."""
@@ -116,9 +123,7 @@ def hits_in(texts: list[str], probes: Probes) -> list[tuple[int, int, int, int,
     h = qgram_hashes(x, q)
     if not len(h) or not len(probes.grams):
         return []
-    table = np.zeros(1 << 22, bool)
-    table[(probes.grams >> np.uint64(42)).astype(np.int64)] = True
-    spot = np.flatnonzero(table[(h >> np.uint64(42)).astype(np.int64)])
+    spot = np.flatnonzero(probes.table[(h >> np.uint64(42)).astype(np.int64)])
     k = np.minimum(np.searchsorted(probes.grams, h[spot]), len(probes.grams) - 1)
     same = probes.grams[k] == h[spot]
     spot, k = spot[same], k[same]
@@ -179,7 +184,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at, some in cp.slices(batch.column(1).to_pylist()):
+                for at, some in cp.slices(t.as_py() for t in batch.column(1)):
                     hits = hits_in(some, probes)
                     rows = pa.array([at + h[0] for h in hits], pa.int64())
                     rest = [pa.array([h[k] for h in hits], t) for k, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32()))]

@@ -60,8 +60,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents that hold each bucket, by label: one dense table a task, whatever the rows."""
     seen = np.zeros((2, 1 << BUCKET_BITS), np.int64)
     for batch in batches:
-        texts, labels = batch.column(0).to_pylist(), np.asarray(batch.column(1)).astype(np.int64)
-        for at, some in cp.slices(texts):
+        labels = np.asarray(batch.column(1)).astype(np.int64)
+        for at, some in cp.slices(t.as_py() for t in batch.column(0)):
             bucket, sentence, _, _, doc = _sentence_words(some)
             pairs = np.unique(doc[sentence] << BUCKET_BITS | bucket)
             toxic = labels[at + (pairs >> BUCKET_BITS)]
@@ -123,9 +123,9 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", feature
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            labels = batch.column(1).to_pylist()
             out: list[list] = [[], [], [], []]
-            for at, some in cp.slices(texts):
+            for at, some in cp.slices(t.as_py() for t in batch.column(0)):
                 bucket, sentence, s_start, _, doc = _sentence_words(some)
                 k = np.minimum(np.searchsorted(chosen, bucket), len(chosen) - 1)
                 hit = chosen[k] == bucket
