@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,26 +74,30 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[0, part]), pa.array(seen[1, part])], names=["bucket", "n0", "n1"])
 
 
-def _fit(bags: list[tuple[int, int, np.ndarray, np.ndarray]], k: int, start: np.ndarray, steps: int, decay: float) -> tuple[np.ndarray, float]:
-    """Adam on the noisy-or's log loss. A bag: label, sentences without features, then (sentence, feature) pairs."""
-    y = np.array([b[0] for b in bags], float)
-    plain = np.array([b[1] for b in bags], float)
-    base = np.cumsum([0] + [int(b[2].max()) + 1 if len(b[2]) else 0 for b in bags])
-    row = np.concatenate([b[2] + base[i] for i, b in enumerate(bags)] or [np.zeros(0, int)]).astype(int)
-    col = np.concatenate([b[3] for b in bags] or [np.zeros(0, int)]).astype(int)
-    bag = np.repeat(np.arange(len(bags)), np.diff(base))
+def _fit(bags: pa.Table, k: int, start: np.ndarray, steps: int, decay: float) -> tuple[np.ndarray, float]:
+    """Adam on the noisy-or's log loss. A bag: label, sentences without features, then (sentence, feature) pairs by sentence."""
+    y = bags["y"].to_numpy().astype(float)
+    plain = bags["plain"].to_numpy().astype(float)
+    pairs = np.cumsum(pc.list_value_length(bags["s"]).to_numpy().astype(np.int64))
+    row, col = (pc.list_flatten(bags[c]).to_numpy().astype(np.int64) for c in ("s", "k"))
+    sizes = np.diff(pairs, prepend=0)
+    own = np.zeros(len(y), np.int64)
+    own[sizes > 0] = row[pairs[sizes > 0] - 1] + 1  # sentences with features
+    base = np.concatenate([[0], np.cumsum(own)])
+    row += np.repeat(base[:-1], sizes)
+    bag = np.repeat(np.arange(len(y)), own)
     w = np.concatenate([start, [-6.0]])
     m = v = np.zeros(k + 1)
     for t in range(1, steps + 1):
         z = np.bincount(row, w[col], base[-1]) + w[k]
         p, p0 = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 / (1 + np.exp(-w[k]))
-        quiet = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), len(bags)) + plain * np.log1p(-p0)
+        quiet = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)) + plain * np.log1p(-p0)
         doc = np.clip(1 - np.exp(quiet), 1e-7, 1 - 1e-7)
         pull = 1 - y / doc  # of the loss, by a sentence's logit, over p
         g_row = pull[bag] * p
         grad = np.bincount(col, g_row[row], k + 1)
         grad[k] = g_row.sum() + (pull * plain).sum() * p0
-        grad = grad / max(1, len(bags)) + decay * np.concatenate([w[:k], [0]])
+        grad = grad / max(1, len(y)) + decay * np.concatenate([w[:k], [0]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:k], float(w[k])
@@ -140,15 +145,14 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", feature
                     out[2].append(at_row.tolist())
                     out[3].append(k[own].tolist())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64()))],
+                [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.int32()))],
                 names=["y", "plain", "s", "k"],
             )
 
     share = min(1.0, sample / max(1, n["n0"] + n["n1"]))
     some = rows.where(F.pmod(F.xxhash64("t", F.lit(10)), F.lit(1_000_000)) < round(share * 1_000_000)).limit(2 * sample)
-    got = some.mapInArrow(bags, "y int, plain long, s array<long>, k array<long>").toArrow()
-    fitted = sorted(zip(*(got.column(i).to_pylist() for i in range(4)), strict=True))
-    weights, bias = _fit([(y, p, np.array(s, int), np.array(k, int)) for y, p, s, k in fitted], len(chosen), start, steps, decay)
+    drawn = some.mapInArrow(bags, "y int, plain long, s array<int>, k array<int>").orderBy("y", "plain", "s", "k")
+    weights, bias = _fit(drawn.toArrow(), len(chosen), start, steps, decay)
     return ToxicityModel(chosen, weights, bias)
 
 
