@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-FEEDBACK = "command string, commanWd string, type string, code string, description string, results struct<current_pose: struct<x: double, y: double, theta: double>>"
+FEEDBACK = "command string, commanWd string, type string, code string, description string, data struct<target: string, markers: array<string>>, results struct<current_pose: struct<x: double, y: double, theta: double>, navigation_status: string>"
 
 
 def frames(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -19,6 +19,7 @@ def frames(lines: DataFrame, value: str = "value") -> DataFrame:
     return read.select(
         *lines.drop(value).columns, F.coalesce("_m.command", "_m.commanWd").alias("command"), F.col("_m.type").alias("type"),
         F.col("_m.code").alias("code"), F.col("_m.results.current_pose").alias("pose"),
+        F.col("_m.data.target").alias("target"), F.col("_m.data.markers").alias("markers"), F.col("_m.results.navigation_status").alias("navigation_status"),
     )
 
 

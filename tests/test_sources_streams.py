@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from stoa.sources import clouds
-from stoa.streaming import events
+from stoa.streaming import events, navigation
 
 
 def test_ply_round_trip(spark, tmp_path):
@@ -67,3 +67,10 @@ def test_frames(spark):
     lines = spark.createDataFrame([('{"command":"/api/robot_status","results":{"current_pose":{"x":1,"y":2,"theta":0.5}}}\n{"commanWd":"b"}\n\nbroken{',), ('{"type":"notification","code":"01002"}',)], "value string")
     got = events.frames(lines).collect()
     assert [(r["command"], r["code"]) for r in got] == [("/api/robot_status", None), ("b", None), (None, "01002")] and got[0]["pose"]["y"] == 2
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_navigation_state_outlives_batches(spark, tmp_path, batches):
+    frame = [("r", at(k), code, target, markers) for k, (code, target, markers) in enumerate([("01101", None, ["A", "B"]), ("01001", "A", None), ("01002", None, None), ("01004", None, None), ("01104", None, None)])]
+    got = replay(spark, frame, "robot_id string, ts timestamp, code string, target string, markers array<string>", navigation.navigation, tmp_path, batches)
+    assert [tuple(r[3:]) for r in got] == [("running", -1, True, False, None), ("running", 0, True, False, None), ("running", 0, True, False, "A"), ("failed", 0, True, False, "A"), ("failed", 0, False, False, "A")]
