@@ -141,18 +141,18 @@ def read_blocks(path: str) -> Iterator[tuple[list[int | None], np.ndarray, Codes
             yield docs, lengths, Codes.from_bytes(memoryview(f.read(size)))[0]
 
 
-class _Written(WriterCommitMessage):
+class Written(WriterCommitMessage):
     def __init__(self, shard: int, file: str, rows: int, ids: int):
         self.shard, self.file, self.rows, self.ids = shard, file, rows, ids
 
 
-class _Writer(DataSourceArrowWriter):
+class CodesWriter(DataSourceArrowWriter):
     """Each task writes one shard under a name of its own; the commit names those that count."""
 
     def __init__(self, path: str, block_ids: int):
         self.path, self.block_ids = path.rstrip("/"), block_ids
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
@@ -174,9 +174,9 @@ class _Writer(DataSourceArrowWriter):
                         docs, ids, held = [], [], 0
             if docs:
                 total, rows = total + _write_block(out, docs, ids), rows + len(docs)
-        return _Written(shard, file, rows, total)
+        return Written(shard, file, rows, total)
 
-    def commit(self, messages: list[_Written | None]) -> None:
+    def commit(self, messages: list[Written | None]) -> None:
         start, shards = 0, []
         for m in sorted((m for m in messages if m), key=lambda m: m.shard):
             if m.rows:
@@ -187,7 +187,7 @@ class _Writer(DataSourceArrowWriter):
         with fs.open_output_stream(place) as out:
             out.write(json.dumps({"bits": BITS, "ids": start, "shards": shards}).encode())
 
-    def abort(self, messages: list[_Written | None]) -> None:
+    def abort(self, messages: list[Written | None]) -> None:
         for m in messages:
             if m:
                 fs, place = _filesystem(f"{self.path}/{m.file}")
@@ -199,7 +199,7 @@ class _Shard(InputPartition):
         self.file, self.start = file, start
 
 
-class _Reader(DataSourceReader):
+class CodesReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path.rstrip("/")
 
@@ -228,15 +228,17 @@ class TokenCodes(DataSource):
     """Format ``dac``. Writes ``(doc_id long, ids binary)``, ids being little-endian unsigned 32-bit integers, in
     the order of the partitions and of the rows in them; reads ``doc_id, start, n_tokens, ids``."""
 
+    SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
+
     @classmethod
     def name(cls) -> str:
         return "dac"
 
     def schema(self) -> str:
-        return "doc_id long, start long, n_tokens long, ids binary"
+        return self.SCHEMA
 
-    def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"])
+    def reader(self, schema) -> CodesReader:
+        return CodesReader(self.options["path"])
 
-    def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], int(self.options.get("blockids", 1 << 20)))
+    def writer(self, schema, overwrite: bool) -> CodesWriter:
+        return CodesWriter(self.options["path"], int(self.options.get("blockids", 1 << 20)))

@@ -71,6 +71,16 @@ def test_token_digest(spark, docs, fixture):
     assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_format_by_name_reads_the_same(spark, docs, tmp_path):
+    token_codes.register(spark)
+    token_codes.write_codes(docs, str(tmp_path / "a"), tokenizer_file())
+    want = sorted(map(tuple, token_codes.read_codes(spark, str(tmp_path / "a")).collect()), key=lambda r: r[1])
+    assert sorted(map(tuple, spark.read.format("dac").load(str(tmp_path / "a")).collect()), key=lambda r: r[1]) == want
+    again = token_codes.read_codes(spark, str(tmp_path / "a")).select("doc_id", "ids").orderBy("start").coalesce(1)
+    again.write.format("dac").mode("append").save(str(tmp_path / "b"))
+    assert sorted(map(tuple, token_codes.read_codes(spark, str(tmp_path / "b")).collect()), key=lambda r: r[1]) == want
+
+
 def test_encoder_equals_library():
     from tokenizers import Tokenizer
 
