@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from stoa.llm import decontaminate, langid, licenses, mixing, sharding, simhash, suffix_dedup, token_codes, token_files, topk, toxicity
+from stoa.llm import decontaminate, langid, licenses, mixing, sharding, shingles, simhash, suffix_dedup, token_codes, token_files, topk, toxicity
 from stoa.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, source string"
@@ -419,3 +419,64 @@ def test_pipeline_stages(spark):
         docs = out
     out = corpus_pipeline.run(spark, sf)
     assert out.count() == docs.count() and before > docs.select("doc_id").distinct().count()
+
+
+def brute_shingles(text, n=5):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def brute_keep_first(rows):
+    """Indexes of ``(id, text)`` rows kept: the first by id of each group closed over shingle similarity of 0.8."""
+    sets = [brute_shingles(t) for _, t in rows]
+    near = lambda a, b: a == b or len(a & b) * 5 >= len(a | b) * 4
+    left, kept = set(range(len(rows))), set()
+    while left:
+        group = todo = {left.pop()}
+        while todo:
+            todo = {j for j in left for i in todo if near(sets[i], sets[j])}
+            left -= todo
+            group = group | todo
+        kept.add(min(group, key=lambda i: (rows[i][0] is None, rows[i][0] or 0)))
+    return kept
+
+
+@pytest.fixture(scope="module")
+def near_rows():
+    rng = random.Random(11)
+    rows = []
+    for k in range(40):  # pairs with some words changed: similarity from 0.5 to 1
+        words = sentence(rng, 200).split()
+        rows.append((10 * k, " ".join(words)))
+        for at in rng.sample(range(0, 200, 10), k % 8 + 1):
+            words[at] = "changed"
+        rows.append((10 * k + 1, " ".join(words).upper()))
+    chain = [f"w{i}" for i in range(400)]
+    rows += [(1000 + i, " ".join(chain[4 * i : 4 * i + 60])) for i in range(12)]  # each near its neighbours only
+    return rows + [(2000, None), (2001, ""), (2002, "two words"), (2003, "two  Words"), (2004, sentence(rng, 5)), (None, rows[0][1]), (None, sentence(rng, 50))]
+
+
+@pytest.mark.parametrize("blocks", [(2048, 1_000_000), (4, 300)])
+def test_near_copies_by_shingles(spark, near_rows, blocks):
+    docs = spark.createDataFrame(near_rows, "doc_id long, text string").withColumn("H", F.lit(1)).repartition(3)
+    kept = shingles.keep_first(docs, block_rows=blocks[0], block_shingles=blocks[1])
+    assert kept.columns == docs.columns
+    want = [near_rows[i] for i in brute_keep_first(near_rows)]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted((d is None, d or 0, t or "") for d, t in want)
+
+
+def test_bands_reach_the_similarity():
+    rng = np.random.default_rng(12)
+    for n in (9, 90, 900):  # similarity 0.8 exactly
+        for _ in range(100):
+            x = rng.integers(0, 2**64, n + n // 9, np.uint64)
+            a, b = x[:n], np.concatenate([x[: n - n // 9], x[n : n + n // 9]])
+            assert set(shingles.band_keys(a)) & set(shingles.band_keys(b))
+
+
+def test_pipeline_drops_near_copies(spark, near_rows):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(near_rows, "doc_id long, text string")
+    got = corpus_pipeline.near_copies_out(spark, docs, "")
+    assert {r["doc_id"] for r in got.collect()} == {near_rows[i][0] for i in brute_keep_first(near_rows)}
