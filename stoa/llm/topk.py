@@ -104,8 +104,9 @@ def bucket_top(q_ids: np.ndarray, q: np.ndarray, theta: np.ndarray, c_ids: np.nd
             m = int(prefix[chunk].max())
             s = _products(q[at[chunk]], c[:m])
             keep = s >= np.maximum(theta[at[chunk]], -(2.0**62))[:, None]
-            if m > k + 1:  # one more than k, for the query's own row
-                keep &= s >= np.partition(s, m - k - 1, axis=1)[:, m - k - 1 : m - k]
+            if m > k:  # the k-th place among others: the query's own rows, however many, come last
+                s[c_ids[None, :m] == q_ids[at[chunk], None]] = -np.inf if s.dtype == object else np.iinfo(np.int64).min
+                keep &= s >= np.partition(s, m - k, axis=1)[:, m - k : m - k + 1]
             r, p = np.nonzero(keep)
             rows.append(at[chunk][r])
             places.append(p)

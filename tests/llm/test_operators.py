@@ -159,6 +159,20 @@ def test_both_prunings_keep_the_best(sharp):
         assert sorted(zip(-score[row == i], ids[row == i], strict=True)) == sorted(zip(-scores[i], range(200), strict=True))[:4]
 
 
+def test_a_repeated_query_id_keeps_all_others():
+    rng = np.random.default_rng(13)
+    c = rng.integers(-50, 50, (60, 6))
+    ids = np.arange(60)
+    for copies in (2, 6):
+        v = np.concatenate([c, np.repeat(c[:1] * 3, copies, 0)])
+        n = np.concatenate([ids, np.zeros(copies, int)])
+        order = np.argsort(-(v**2).sum(1), kind="stable")
+        v, n = v[order], n[order]
+        row, got, score = topk.bucket_top(np.array([0]), c[:1] * 3, np.array([-np.inf]), n, v, 5)
+        want = sorted((-int(c[0] @ x) * 3, i) for i, x in zip(n.tolist(), v, strict=True) if i != 0)[:5]
+        assert sorted(zip((-score).tolist(), got.tolist(), strict=True)) == want
+
+
 # 4 -----------------------------------------------------------------------------------------------------------
 
 
