@@ -1,7 +1,8 @@
 """Benchmark passages in documents: q-gram lemma filter in diagonal bands, then banded alignment.
 
 Texts are compared as lower-case letters and digits with single blanks between words. Each benchmark item is
-cut into overlapping probes of ``length`` characters. An occurrence of a probe with at most ``e`` edits shares
+cut into overlapping probes of ``length`` characters, and of ``SHORT`` characters every ``STRIDE``: a verbatim
+excerpt of ``SHORT + STRIDE - 1`` = 70 such characters holds a whole short probe wherever it starts. An occurrence of a probe with at most ``e`` edits shares
 ``length + 1 - q * (e + 1)`` of its q-grams, on diagonals (text place less probe place) at most ``e`` apart.
 Shared q-grams are counted in bands of 16 diagonals that overlap by ``e``; bands that reach the bound are
 aligned, and a probe within its edit budget makes the document a hit of its item.
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from stoa.llm import codepoints as cp
 
 BAND = 16
+SHORT, STRIDE = 64, 7
+SLICE_CHARS = 1 << 16  # each place of a benchmark passage meets some ten probes
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -59,6 +62,7 @@ class Probes:
     """Probes of a block of benchmark items and the index of their q-grams."""
 
     item: np.ndarray
+    short: np.ndarray
     chars: list[np.ndarray]
     budget: np.ndarray
     bound: np.ndarray
@@ -77,18 +81,23 @@ class Probes:
 
     @classmethod
     def of(cls, items: list[tuple[int, str]], q: int, length: int, errors: float) -> Probes:
-        """Probes start every half length and end with the item. An item of fewer than ``q`` characters has none."""
-        item, chars = [], []
+        """Probes start every half length, short ones every ``STRIDE``; the last of each ends with the item.
+
+        An item of fewer than ``q`` characters has none.
+        """
+        item, chars, short = [], [], []
         for key, text in items:
             x = normalised([text or ""])[0]
             x = x[x != 0]
             x = x[:-1] if len(x) and x[-1] == 32 else x
             if len(x) < q:
                 continue
-            size = min(length, len(x))
-            for s in sorted({*range(0, len(x) - size + 1, max(1, length // 2)), len(x) - size}):
-                item.append(key)
-                chars.append(x[s : s + size])
+            for wide, step in ((length, max(1, length // 2)), *[(SHORT, STRIDE)] * (SHORT < min(length, len(x)))):
+                size = min(wide, len(x))
+                for s in sorted({*range(0, len(x) - size + 1, step), len(x) - size}):
+                    item.append(key)
+                    chars.append(x[s : s + size])
+                    short.append(wide < length)
         sizes = np.array([len(c) for c in chars], np.int64)
         budget = np.minimum((sizes * errors).astype(np.int64), np.maximum(0, (sizes - q) // q))
         hashes = [qgram_hashes(c, q) for c in chars]
@@ -97,7 +106,7 @@ class Probes:
         place = np.concatenate([np.arange(len(h)) for h in hashes] or [np.zeros(0, np.int64)])
         order = np.argsort(flat, kind="stable")
         grams, first = np.unique(flat[order], return_index=True)
-        return cls(np.array(item, np.int64), chars, budget, sizes + 1 - q * (budget + 1), grams, np.append(first, len(flat)), probe[order], place[order], q)
+        return cls(np.array(item, np.int64), np.array(short, bool), chars, budget, sizes + 1 - q * (budget + 1), grams, np.append(first, len(flat)), probe[order], place[order], q)
 
 
 def banded_distance(probe: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +126,10 @@ def banded_distance(probe: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray,
 
 
 def hits_in(texts: list[str], probes: Probes) -> list[tuple[int, int, int, int, int]]:
-    """``(text, item, start, end, edits)`` of the best probe of each item found in each text; offsets in characters."""
+    """``(text, item, start, end, edits)`` of the best probe of each item found in each text; offsets in characters.
+
+    Probes of full length go before short ones.
+    """
     q = probes.q
     x, at, first, starts = normalised(texts)
     h = qgram_hashes(x, q)
@@ -143,7 +155,7 @@ def hits_in(texts: list[str], probes: Probes) -> list[tuple[int, int, int, int,
     key, shared = np.unique(seen // places, return_counts=True)
     key = key[shared >= probes.bound[key // wide]]
     probe, left = key // wide, (key % wide) * BAND - shift
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    best: dict[tuple[int, int], tuple[bool, int, int, int]] = {}
     padded = np.concatenate([np.zeros(2 * shift, np.uint32), x, np.zeros(2 * shift + 64, np.uint32)])
     sizes = np.array([len(c) for c in probes.chars])
     for size, e in {(int(sizes[p]), int(probes.budget[p])) for p in probe}:
@@ -158,15 +170,17 @@ def hits_in(texts: list[str], probes: Probes) -> list[tuple[int, int, int, int,
                 text = int(np.searchsorted(first, max(stop - 1, 0), "right") - 1)
                 begin = max(begin, int(first[text]))
                 name = (text, int(probes.item[probe[chunk[c]]]))
-                found = (int(edits[c]), int(at[begin] - starts[text]), int(at[stop - 1] + 1 - starts[text]))
+                found = (bool(probes.short[probe[chunk[c]]]), int(edits[c]), int(at[begin] - starts[text]), int(at[stop - 1] + 1 - starts[text]))
                 best[name] = min(best.get(name, found), found)
-    return [(t, i, s, e, d) for (t, i), (d, s, e) in sorted(best.items())]
+    return [(t, i, s, e, d) for (t, i), (_, d, s, e) in sorted(best.items())]
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                   q: int = 12, length: int = 100, errors: float = 0.05, block_chars: int = 4_000_000) -> DataFrame:
+                   q: int = 12, length: int = 100, errors: float = 0.05, block_chars: int = 800_000) -> DataFrame:
     """``(doc_id, item_id, start, end, edits)``: for each row of ``docs`` and item found in it, the best place.
 
+    Verbatim excerpts of 70 characters, as compared, are always found; shorter ones may be missed.
+
     Null texts and items, and items of under ``q`` characters once normalised, give nothing; repeated rows repeat
     their hits. The benchmark goes out in blocks of about ``block_chars`` characters, one pass over the documents
     each, so what a task holds is bounded however long the benchmark is.
@@ -184,7 +198,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at, some in cp.slices(t.as_py() for t in batch.column(1)):
+                for at, some in cp.slices((t.as_py() for t in batch.column(1)), SLICE_CHARS):
                     hits = hits_in(some, probes)
                     rows = pa.array([at + h[0] for h in hits], pa.int64())
                     rest = [pa.array([h[k] for h in hits], t) for k, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32()))]

@@ -371,6 +371,17 @@ def test_decontamination(spark):
     assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [3, 4, 5, 6]
 
 
+def test_short_excerpts_at_every_offset():
+    rng = random.Random(14)
+    item = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(40))
+    probes = decontaminate.Probes.of([(5, item)], 12, 100, 0.05)
+    for at in range(len(item) - 72):
+        some = item[at : at + 72].strip()[:70]  # blanks at the ends don't count
+        some += item[item.index(some) + len(some)] * (len(some) < 70)
+        for text in (some, f"{sentence(rng, 30)} - {some} - {sentence(rng, 30)}"):
+            assert [h[:2] for h in decontaminate.hits_in([text], probes)] == [(0, 5)], at
+
+
 def test_banded_distance_equals_full():
     rng = np.random.default_rng(8)
     for _ in range(30):
