@@ -181,11 +181,11 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
 
     Verbatim excerpts of 70 characters, as compared, are always found; shorter ones may be missed.
 
-    Null texts and items, and items of under ``q`` characters once normalised, give nothing; repeated rows repeat
-    their hits. The benchmark goes out in blocks of about ``block_chars`` characters, one pass over the documents
+    Null texts, and items of under ``q`` characters once normalised, give nothing; items without an id give hits with
+    none; repeated rows repeat their hits. The benchmark goes out in blocks of about ``block_chars`` characters, one pass over the documents
     each, so what a task holds is bounded however long the benchmark is.
     """
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     total = items.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_chars))
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
@@ -194,15 +194,21 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
 
     def one(block: int) -> DataFrame:
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()
-        probes = Probes.of(sorted((r["i"], r["t"]) for r in own), q, length, errors)
+        pairs = sorted({(r["i"] is None, r["i"] or 0, r["t"]) for r in own})
+        # an item's rows share a number; without an id each text has its own
+        names = sorted({(none, i, t if none else "") for none, i, t in pairs})
+        number = {name: k for k, name in enumerate(names)}
+        ids = pa.array([None if none else i for none, i, _ in names], pa.int64())
+        probes = Probes.of([(number[none, i, t if none else ""], t) for none, i, t in pairs], q, length, errors)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at, some in cp.slices((t.as_py() for t in batch.column(1)), SLICE_CHARS):
                     hits = hits_in(some, probes)
                     rows = pa.array([at + h[0] for h in hits], pa.int64())
-                    rest = [pa.array([h[k] for h in hits], t) for k, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32()))]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *rest], names=["doc_id", "item_id", "start", "end", "edits"])
+                    item = ids.take(pa.array([h[1] for h in hits], pa.int64()))
+                    rest = [pa.array([h[k] for h in hits], pa.int32()) for k in (2, 3, 4)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), item, *rest], names=["doc_id", "item_id", "start", "end", "edits"])
 
         return narrow.mapInArrow(search, shape)
 

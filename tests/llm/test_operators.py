@@ -371,6 +371,17 @@ def test_decontamination(spark):
     assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [3, 4, 5, 6]
 
 
+def test_items_without_id_are_found(spark):
+    rng = random.Random(15)
+    texts = [sentence(rng, 40) for _ in range(3)]
+    docs = spark.createDataFrame([(1, texts[0]), (2, texts[1]), (3, texts[2]), (4, sentence(rng, 300))], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (0, texts[2]), (None, None)], "item_id long, text string")
+    for block in (4_000_000, 300):
+        got = decontaminate.benchmark_hits(docs, bench, block_chars=block).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, None), (2, None), (3, 0)} and len(got) == 3
+    assert [r["doc_id"] for r in decontaminate.without_benchmark(docs, bench).collect()] == [4]
+
+
 def test_short_excerpts_at_every_offset():
     rng = random.Random(14)
     item = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(40))
