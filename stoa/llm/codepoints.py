@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 
 SLICE_CHARS = 1 << 18  # a task holds some tens of bytes a character of one slice
+_SPACE = re.compile(r"\s")
 _BREAK = 10  # between two documents: a line feed, which is in no word
 
 
@@ -42,6 +44,19 @@ def slices(texts: Iterable[str | None], chars: int = SLICE_CHARS) -> Iterator[tu
         yield at, held
 
 
+def pieces(text: str, chars: int = SLICE_CHARS) -> Iterator[tuple[int, str]]:
+    """``(place, part)`` of a text in parts of about ``chars`` characters, cut before white space: no word is broken."""
+    at = 0
+    while len(text) - at > chars:
+        cut = max(text.rfind(" ", at + 1, at + chars), text.rfind("\n", at + 1, at + chars))
+        if cut < 0:
+            later = _SPACE.search(text, at + chars)
+            cut = later.start() if later else len(text)
+        yield at, text[at:cut]
+        at = cut
+    yield at, text[at:]
+
+
 def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' code points with a break after each, and where each text starts (one more entry at the end)."""
     points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)

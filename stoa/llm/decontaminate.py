@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stoa.llm import codepoints as cp
+from stoa.llm.memory import give_back, small_batches
 
 BAND = 16
 SHORT, STRIDE = 64, 7
@@ -185,6 +186,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     none; repeated rows repeat their hits. The benchmark goes out in blocks of about ``block_chars`` characters, one pass over the documents
     each, so what a task holds is bounded however long the benchmark is.
     """
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     total = items.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_chars))
@@ -209,6 +211,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
                     item = ids.take(pa.array([h[1] for h in hits], pa.int64()))
                     rest = [pa.array([h[k] for h in hits], pa.int32()) for k in (2, 3, 4)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), item, *rest], names=["doc_id", "item_id", "start", "end", "edits"])
+            give_back()
 
         return narrow.mapInArrow(search, shape)
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stoa.llm import codepoints as cp
+from stoa.llm.memory import give_back, small_batches
 from stoa.session import free_name
 
 GRAM_BITS = 16
@@ -56,6 +57,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", rare: float =
     What reaches the driver is at most 65,536 counts a language. A script of under ``rare`` of a language's
     letters counts as unused by it. Without training rows there is no language and every text is ``und``.
     """
+    small_batches(rows.sparkSession)
     rows = rows.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("t is not null and l is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +151,7 @@ def label_column(model: LanguageModel, text: Column, switch: float = 12.0) -> Co
                     own[d].append({"start": s, "end": e, "lang": x})
                 spans += own
             yield pd.DataFrame({"lang": langs, "score": np.array(scores, float), "spans": spans})
+        give_back()
 
     return run(text)
 
@@ -158,6 +161,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", swi
 
     A null text, or one without a letter, is ``und`` with score 0 and no span. Each row is labelled on its own.
     """
+    small_batches(docs.sparkSession)
     held = free_name(docs, "_language")
     out = docs.withColumn(held, label_column(model, F.col(text), switch))
     return out.select(

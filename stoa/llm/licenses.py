@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stoa.llm import codepoints as cp
+from stoa.llm.memory import small_batches
 from stoa.session import free_name
 
 # Well-known license notices, by SPDX-like name.
@@ -143,4 +144,5 @@ def notice_column(text: Column, templates: dict[str, str] | None = None, coverag
 
 def with_licenses(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with ``licenses``, named longer where ``docs`` has such a column. Each row is scanned on its own."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(free_name(docs, "licenses"), notice_column(F.col(text), **options))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stoa.llm.memory import give_back, small_batches
 from stoa.session import written
 
 GRAM = 32
@@ -222,6 +223,7 @@ def repeated_spans(docs: DataFrame, n: int = 200, hot_segments: int = 65_536) ->
                     [pa.array(key), pa.array(own), *(pa.array(v[at + text]) for v in names), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32))],
                     names=["key", "own", "d", "k1", "k2", "first", "windows"],
                 )
+        give_back()
 
     shape = "key long, own long, d long, k1 long, k2 long, first int, windows int"
     found = written(docs.select("doc_id", "k1", "k2", "text").mapInArrow(cut, shape), "segments")
@@ -313,6 +315,7 @@ def without_repeats(docs: DataFrame, n: int = 200, doc_id: str = "doc_id", text:
     text included; strings never cross texts and are judged on the input. Null texts count as empty; texts of
     under ``n`` bytes stay whole. Repeated rows are copies of each other, so both lose all bytes if long enough.
     """
+    small_batches(docs.sparkSession)
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("k1"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(-1)).alias("k2"))
     spans = repeated_spans(named, n)
 

@@ -5,16 +5,17 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoa.llm.token_files import CodesReader, CodesWriter, TokenCodes, Written
+from stoa.llm import codepoints as cp
+from stoa.llm.memory import give_back, small_batches
+from stoa.llm.token_files import BLOCK_IDS, CodesReader, CodesWriter, TokenCodes, Written
 from stoa.session import scratch
 
 
@@ -31,17 +32,18 @@ _PLAIN = re.compile("[a-zß-öø-ÿ]+")  # lower case, composed, letters only: o
 class _Encoder:
     """Ids of whole texts by a tokenizer file whose pre-tokens never cross white space.
 
-    A text is cut at white space and each part is encoded by the library once, then kept for the next time
-    (at most ``keep`` parts). Texts with a special token's string or an information separator are encoded whole.
+    A text is cut at white space and each part is encoded by the library once, then kept for the next time:
+    the last ``keep`` to ``2 * keep`` parts of at most 32 characters, about 16 MB. Texts with a special token's
+    string or an information separator are encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 40_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special += ["\x1c", "\x1d", "\x1e", "\x1f"]  # str.split takes these for white space, the tokenizer doesn't
-        self.keep, self.known = keep, {}
+        self.keep, self.known, self.before = keep, {}, {}
         table = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(table)]
         self.bytes = {b: chr(b) for b in table} | {b: chr(256 + k) for k, b in enumerate(rest)}  # the byte-level alphabet
@@ -49,30 +51,37 @@ class _Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        letters = word if word.isascii() else word.encode().decode("latin1").translate(self.bytes)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+
     def _part(self, part: str) -> bytes:
         mark = part[-1] if part[-1] in ".," else ""
         word = part[:-1] if mark else part
         word = word.lower() if word.isascii() else word
         if not _PLAIN.fullmatch(word):
             return self._whole(part)
-        if (ids := self.known.get(word)) is None:
-            letters = word if word.isascii() else word.encode().decode("latin1").translate(self.bytes)
-            ids = self.known[word] = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
-        if mark and mark not in self.known:
-            self.known[mark] = self._whole(mark)
-        return ids + self.known[mark] if mark else ids
+        ids = self._kept(word, self._word)
+        return ids + self._kept(mark, self._whole) if mark else ids
+
+    def _kept(self, part: str, ids_of: Callable[[str], bytes]) -> bytes:
+        ids = self.known.get(part)
+        if ids is None:
+            ids = self.before.get(part) or ids_of(part)
+            if len(part) <= 32:
+                if len(self.known) >= self.keep:
+                    self.before, self.known = self.known, {}
+                self.known[part] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self._whole(text)
-        known, out = self.known, []
-        for part in text.split():
-            ids = known.get(part)
-            if ids is None:
-                if len(known) >= self.keep:
-                    known.clear()
-                ids = known[part] = self._part(part)
-            out.append(ids)
+        out = []
+        for _, piece in cp.pieces(text):
+            for part in piece.split():
+                ids = self.known.get(part)
+                out.append(self._kept(part, self._part) if ids is None else ids)
         return b"".join(out)
 
 
@@ -81,18 +90,15 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)  # one for each Python worker
 
 
-def encoded(text: Column, tokenizer: str, end_id: int | None = 2) -> Column:
-    """Binary: the text's ids (null counts as empty), then ``end_id``, as little-endian unsigned 32-bit integers."""
-
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _encoder(tokenizer)
-        end = b"" if end_id is None else struct.pack("<I", end_id)
-        for batch in batches:
-            yield pd.Series([encoder(t or "") + end for t in batch])
-
-    return run(text)
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int | None) -> Iterator[pa.RecordBatch]:
+    """``(doc_id, ids)`` of ``(doc_id, text)`` rows, some texts at a time: a batch's ids are never all held."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    encoder = _encoder(tokenizer)
+    end = b"" if end_id is None else struct.pack("<I", end_id)
+    for batch in batches:
+        for at, some in cp.slices(t.as_py() for t in batch.column(1)):
+            ids = pa.array([encoder(t) + end for t in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), ids], names=["doc_id", "ids"])
 
 
 def write_codes(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = 2) -> None:
@@ -104,20 +110,21 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_i
 
     Tasks write the shards and give a row each; the manifest then names those of the attempts that succeeded.
     This goes by tasks and not by the format's name, whose planning leaves some seven Python processes of 45 MB
-    on the driver.
+    on the driver. One worker a task encodes and writes, by batches of bounded bytes.
     """
     spark = docs.sparkSession
-    writer = CodesWriter(path, 1 << 20)
+    small_batches(spark)
+    writer = CodesWriter(path, BLOCK_IDS)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = writer.write(batches)
+        m = writer.write(_encoded(batches, tokenizer, end_id))
+        give_back()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([m.shard], pa.int32()), "file": [m.file], "rows": [m.rows], "ids": [m.ids]})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     ranged = narrow.repartitionByRange(parts, "d", "h").sortWithinPartitions("d", "h")
-    coded = ranged.select(F.col("d").alias("doc_id"), encoded(F.col("t"), tokenizer, end_id).alias("ids"))
-    wrote = coded.mapInArrow(shard, "shard int, file string, rows long, ids long").collect()  # a row for each task
+    wrote = ranged.select("d", "t").mapInArrow(shard, "shard int, file string, rows long, ids long").collect()  # a row for each task
     writer.commit([Written(*row) for row in wrote])
 
 
@@ -130,6 +137,7 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 yield from reader.read(shards[k])
+        give_back()
 
     return spark.range(0, len(shards), 1, len(shards)).mapInArrow(blocks, TokenCodes.SCHEMA)
 

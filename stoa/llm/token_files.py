@@ -5,6 +5,9 @@ one, a bitmap that says whether a next chunk follows, and a rank directory (set
 block). Token ``i`` is read with one byte of each level it has: the rank of its continuation bit is its place
 in the next level. Nothing else is decoded.
 
+A shard file is a chain of blocks and, at its end, a directory of them (place in the file, first id, first row),
+so ``token`` finds any id of a data set by a few reads of some bytes each, whatever the files hold.
+
 A data set is a folder of shard files, named in doc-id order, and ``_manifest.json`` with each shard's rows,
 ids and the ids of all shards before it. ``spark.read.format("dac")`` and ``df.write.format("dac")`` work once
 ``TokenCodes`` is registered; a write's shards become visible only by the manifest that its commit writes.
@@ -12,6 +15,7 @@ ids and the ids of all shards before it. ``spark.read.format("dac")`` and ``df.w
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 import struct
@@ -23,7 +27,8 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-MAGIC, BITS, BLOCK = b"DACIDS01", 8, 512
+MAGIC, BITS, BLOCK = b"DACIDS02", 8, 512
+BLOCK_IDS = 1 << 18  # of a block at least, and one document more
 _POPCOUNT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.int64)
 
 
@@ -89,21 +94,20 @@ class Codes:
         return out
 
     def to_bytes(self) -> bytes:
-        parts = [struct.pack("<QI", self.n, len(self.levels))]
-        for chunks, bitmap, ranks in self.levels:
-            parts += [struct.pack("<QQQ", len(chunks), len(bitmap), len(ranks)), chunks.tobytes(), bitmap.tobytes(), ranks.astype("<u8").tobytes()]
-        return b"".join(parts)
+        """Number of ids and levels, the sizes of each level's parts, then the parts."""
+        sizes = [struct.pack("<QQQ", len(chunks), len(bitmap), len(ranks)) for chunks, bitmap, ranks in self.levels]
+        parts = [part for chunks, bitmap, ranks in self.levels for part in (chunks.tobytes(), bitmap.tobytes(), ranks.astype("<u8").tobytes())]
+        return b"".join([struct.pack("<QQ", self.n, len(self.levels)), *sizes, *parts])
 
     @classmethod
     def from_bytes(cls, data: memoryview) -> tuple[Codes, int]:
         """The codes at the start of ``data``, and the bytes that they take."""
-        n, count = struct.unpack_from("<QI", data)
-        at, levels = 12, []
-        for _ in range(count):
-            sizes = struct.unpack_from("<QQQ", data, at)
-            at += 24
+        n, count = struct.unpack_from("<QQ", data)
+        sizes = struct.unpack_from(f"<{3 * count}Q", data, 16)
+        at, levels = 16 + 24 * count, []
+        for k in range(count):
             arrays = []
-            for size, kind in zip(sizes, (np.uint8, np.uint8, "<u8"), strict=True):
+            for size, kind in zip(sizes[3 * k : 3 * k + 3], (np.uint8, np.uint8, "<u8"), strict=True):
                 arrays.append(np.frombuffer(data, kind, size, at))
                 at += arrays[-1].nbytes
             levels.append(tuple(arrays))
@@ -117,14 +121,18 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if re.match(r"\w[\w+.-]*:/", path) else (pafs.LocalFileSystem(), path)
 
 
-def _write_block(out, docs: list[int | None], ids: list[np.ndarray]) -> int:
-    """One block: its documents' ids, lengths and codes, so a shard is written in bounded memory."""
+def _write_block(out, docs: list[int | None], ids: list[np.ndarray]) -> tuple[int, int]:
+    """One block: its documents' ids, lengths and codes, so a shard is written in bounded memory.
+
+    Gives its number of ids and the place of its codes from its start."""
     lengths = np.fromiter(map(len, ids), "<u8", len(ids))
     codes = Codes.of(np.concatenate(ids) if ids else np.zeros(0, np.uint32)).to_bytes()
     known = np.packbits([d is not None for d in docs], bitorder="little").tobytes()
     head = struct.pack("<QQ", len(docs), len(codes))
-    out.write(head + known + np.array([d or 0 for d in docs], "<i8").tobytes() + lengths.tobytes() + codes)
-    return int(lengths.sum())
+    front = head + known + np.array([d or 0 for d in docs], "<i8").tobytes() + lengths.tobytes()
+    out.write(front)
+    out.write(codes)
+    return int(lengths.sum()), len(front)
 
 
 def read_blocks(path: str) -> Iterator[tuple[list[int | None], np.ndarray, Codes]]:
@@ -135,12 +143,63 @@ def read_blocks(path: str) -> Iterator[tuple[list[int | None], np.ndarray, Codes
             raise ValueError(f"not a file of token codes: {path}")
         while head := f.read(16):
             n, size = struct.unpack("<QQ", head)
+            if not size:  # the directory follows
+                break
             known = np.unpackbits(np.frombuffer(f.read(-(-n // 8)), np.uint8), bitorder="little")[:n]
             docs = [int(d) if k else None for d, k in zip(np.frombuffer(f.read(8 * n), "<i8"), known, strict=True)]
             lengths = np.frombuffer(f.read(8 * n), "<u8").astype(np.int64)
             yield docs, lengths, Codes.from_bytes(memoryview(f.read(size)))[0]
 
 
+def directory(file: pa.NativeFile) -> list[tuple[int, int, int]]:
+    """``(place of the codes in the file, ids before, rows before)`` of each block of an open shard."""
+    size = file.size()
+    entries, magic = struct.unpack("<Q8s", file.read_at(16, size - 16))
+    if magic != MAGIC:
+        raise ValueError("not a whole file of token codes")
+    flat = struct.unpack(f"<{3 * entries}Q", file.read_at(24 * entries, size - 16 - 24 * entries))
+    return list(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
+
+
+def _id_at(file: pa.NativeFile, place: int, i: int) -> int:
+    """Id ``i`` of the codes at ``place``: a byte, a bit and a rank of each level that the id has."""
+    _, count = struct.unpack("<QQ", file.read_at(16, place))
+    sizes = struct.unpack(f"<{3 * count}Q", file.read_at(24 * count, place + 16))
+    at, value = place + 16 + 24 * count, 0
+    for level in range(count):
+        chunks, bitmap, ranks = sizes[3 * level : 3 * level + 3]
+        value |= file.read_at(1, at + i)[0] << BITS * level
+        first = i // BLOCK * BLOCK // 8
+        bits = file.read_at(i // 8 + 1 - first, at + chunks + first)  # at most a block's 64 bytes
+        if not bits[-1] >> (i % 8) & 1:
+            break
+        before = int.from_bytes(bits, "little") & ((1 << (i % BLOCK)) - 1)
+        (rank,) = struct.unpack("<Q", file.read_at(8, at + chunks + bitmap + 8 * (i // BLOCK)))
+        i, at = rank + before.bit_count(), at + chunks + bitmap + 8 * ranks
+    return value
+
+
+def token(path: str, i: int) -> int:
+    """Id ``i`` of the data set in ``path``, counted over all documents in their order.
+
+    Reads the manifest, one shard's directory and at most 73 bytes a level; no block is decoded.
+    """
+    reader = CodesReader(path)
+    shards = [s for s in reader.partitions() if s.file]
+    at = bisect.bisect_right([s.start for s in shards], i) - 1
+    if i < 0 or at < 0:
+        raise IndexError(i)
+    fs, place = _filesystem(f"{reader.path}/{shards[at].file}")
+    with fs.open_input_file(place) as file:
+        blocks = directory(file)
+        own = bisect.bisect_right([b[1] for b in blocks], i - shards[at].start) - 1
+        codes, before, _ = blocks[own]
+        (n,) = struct.unpack("<Q", file.read_at(8, codes))
+        if i - shards[at].start - before >= n:
+            raise IndexError(i)
+        return _id_at(file, codes, i - shards[at].start - before)
+
+
 class Written(WriterCommitMessage):
     def __init__(self, shard: int, file: str, rows: int, ids: int):
         self.shard, self.file, self.rows, self.ids = shard, file, rows, ids
@@ -162,18 +221,28 @@ class CodesWriter(DataSourceArrowWriter):
         rows = total = held = 0
         docs: list[int | None] = []
         ids: list[np.ndarray] = []
+        places: list[tuple[int, int, int]] = []
         with fs.open_output_stream(place) as out:
             out.write(MAGIC)
+
+            def block() -> None:
+                nonlocal rows, total, held, docs, ids
+                at = out.tell()
+                more, front = _write_block(out, docs, ids)
+                places.append((at + front, total, rows))
+                rows, total, held, docs, ids = rows + len(docs), total + more, 0, [], []
+
             for batch in iterator:
                 for d, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     docs.append(d)
                     ids.append(np.frombuffer(raw.as_buffer() or b"", "<u4"))
                     held += len(ids[-1])
                     if held >= self.block_ids:
-                        total, rows = total + _write_block(out, docs, ids), rows + len(docs)
-                        docs, ids, held = [], [], 0
+                        block()
             if docs:
-                total, rows = total + _write_block(out, docs, ids), rows + len(docs)
+                block()
+            out.write(struct.pack("<QQ", 0, 0))  # no more blocks
+            out.write(struct.pack(f"<{3 * len(places)}Q", *[v for p in places for v in p]) + struct.pack("<Q8s", len(places), MAGIC))
         return Written(shard, file, rows, total)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -241,4 +310,4 @@ class TokenCodes(DataSource):
         return CodesReader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> CodesWriter:
-        return CodesWriter(self.options["path"], int(self.options.get("blockids", 1 << 20)))
+        return CodesWriter(self.options["path"], int(self.options.get("blockids", BLOCK_IDS)))

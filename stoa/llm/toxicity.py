@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stoa.llm import codepoints as cp
+from stoa.llm.memory import give_back, small_batches
 from stoa.session import free_name
 
 BUCKET_BITS = 20
@@ -72,10 +73,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(hit), 1 << 16):
         part = hit[k : k + (1 << 16)]
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[0, part]), pa.array(seen[1, part])], names=["bucket", "n0", "n1"])
+    del seen
+    give_back()
 
 
 def _fit(bags: pa.Table, k: int, start: np.ndarray, steps: int, decay: float) -> tuple[np.ndarray, float]:
-    """Adam on the noisy-or's log loss. A bag: label, sentences without features, then (sentence, feature) pairs by sentence."""
+    """Adam on the noisy-or's log loss. A bag: label, sentences without features, (sentence, feature) pairs by
+    sentence, and how many rows it stands for."""
+    many = bags["n"].to_numpy().astype(float)
     y = bags["y"].to_numpy().astype(float)
     plain = bags["plain"].to_numpy().astype(float)
     pairs = np.cumsum(pc.list_value_length(bags["s"]).to_numpy().astype(np.int64))
@@ -93,11 +98,11 @@ def _fit(bags: pa.Table, k: int, start: np.ndarray, steps: int, decay: float) ->
         p, p0 = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 / (1 + np.exp(-w[k]))
         quiet = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)) + plain * np.log1p(-p0)
         doc = np.clip(1 - np.exp(quiet), 1e-7, 1 - 1e-7)
-        pull = 1 - y / doc  # of the loss, by a sentence's logit, over p
+        pull = many * (1 - y / doc)  # of the loss, by a sentence's logit, over p
         g_row = pull[bag] * p
         grad = np.bincount(col, g_row[row], k + 1)
         grad[k] = g_row.sum() + (pull * plain).sum() * p0
-        grad = grad / max(1, len(y)) + decay * np.concatenate([w[:k], [0]])
+        grad = grad / max(1.0, many.sum()) + decay * np.concatenate([w[:k], [0]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:k], float(w[k])
@@ -107,10 +112,12 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", feature
     """A model from rows with a text and a 0/1 label; rows where either is null are left out.
 
     Buckets are chosen by their counts over all rows: the ``features`` with the largest difference of log odds
-    times the root of their toxic documents. About ``sample`` rows, dealt by the hash of their text, are used to
-    fit the weights; their features (not their texts) come to the driver. With no toxic row, or no row at all,
-    the model has no features and scores every text near zero.
+    times the root of their toxic documents. About ``sample`` rows (of a larger table, the texts whose hash falls
+    in that share; copies of a text come together and count as often) are used to fit the weights. Spark makes
+    their features and merges equal ones, and those come to the driver: not over ``sample`` different ones but for
+    chance. With no toxic row, or no row at all, the model has no features and scores every text near zero.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y")).where("t is not null and y in (0, 1)")
     counts = rows.mapInArrow(_counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     n = rows.agg(F.count(F.when(F.col("y") == 0, 1)).alias("n0"), F.count(F.when(F.col("y") == 1, 1)).alias("n1")).first()
@@ -150,8 +157,9 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", feature
             )
 
     share = min(1.0, sample / max(1, n["n0"] + n["n1"]))
-    some = rows.where(F.pmod(F.xxhash64("t", F.lit(10)), F.lit(1_000_000)) < round(share * 1_000_000)).limit(2 * sample)
-    drawn = some.mapInArrow(bags, "y int, plain long, s array<int>, k array<int>").orderBy("y", "plain", "s", "k")
+    some = rows.where(F.pmod(F.xxhash64("t", F.lit(10)), F.lit(1_000_000)) < round(share * 1_000_000))
+    made = some.mapInArrow(bags, "y int, plain long, s array<int>, k array<int>")
+    drawn = made.groupBy("y", "plain", "s", "k").agg(F.count(F.lit(1)).alias("n")).orderBy("y", "plain", "s", "k")
     weights, bias = _fit(drawn.toArrow(), len(chosen), start, steps, decay)
     return ToxicityModel(chosen, weights, bias)
 
@@ -177,6 +185,7 @@ def score_column(model: ToxicityModel, text: Column, report: float = 0.3) -> Col
                 for s in np.flatnonzero(p >= report).tolist():
                     spans[at + int(doc[s])].append({"start": int(a[s]), "end": int(b[s]), "score": float(p[s])})
             yield pd.DataFrame({"score": scores, "sentences": spans})
+        give_back()
 
     return run(text)
 
@@ -186,6 +195,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", thr
 
     A null or empty text has the score of one sentence without features. Each row is scored on its own.
     """
+    small_batches(docs.sparkSession)
     score = free_name(docs, "score")
     held = free_name(docs, "_toxicity")
     out = docs.withColumn(held, score_column(model, F.col(text)))

@@ -58,6 +58,37 @@ def test_codes_random_access():
             assert codes.slice(a, b).tolist() == ids[a:b].tolist()
 
 
+def test_token_of_a_data_set_reads_few_bytes(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_codes, "BLOCK_IDS", 500)
+    path = str(tmp_path / "codes")
+    token_codes.write_codes(docs.select("doc_id", "text"), path, tokenizer_file())
+    rows = sorted(token_codes.read_codes(spark, path).collect(), key=lambda r: r["start"])
+    ids = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in rows]).tolist()
+    assert [token_files.token(path, i) for i in range(0, len(ids), 37)] == ids[::37]
+    for i in (-1, len(ids)):
+        with pytest.raises(IndexError):
+            token_files.token(path, i)
+
+    read = []
+    codes = token_files.Codes.of(np.random.default_rng(3).integers(0, 50_000, 100_000, np.uint32))
+
+    class Counted:
+        def __init__(self, data):
+            self.data = data
+
+        def read_at(self, n, at):
+            read.append(n)
+            return self.data[at : at + n]
+
+    assert token_files._id_at(Counted(codes.to_bytes()), 0, 77_777) == codes[77_777] and sum(read) < 250
+
+
+def test_words_of_long_texts_stay_whole():
+    for text in ("ab " * 100, "x" * 50 + " y", "no_space" * 20, "", "a\nb " * 30):
+        parts = [p for _, p in token_codes.cp.pieces(text, 16)]
+        assert "".join(parts) == text and [w for p in parts for w in p.split()] == text.split()
+
+
 def test_token_digest(spark, docs, fixture):
     from tokenizers import Tokenizer
 
