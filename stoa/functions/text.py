@@ -75,3 +75,11 @@ def natural_key(text: Column, width: int = 12) -> Column:
     """A key whose plain order is the natural one: lower case, runs of digits padded to ``width``."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"))
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, width, "0")).otherwise(p)), "")
+
+
+def display_label(label: Column) -> Column:
+    """A label as shown: hyphens and underscores are blanks, words have capitals, a number at the end stands apart."""
+    text = F.replace(F.trim(label), F.lit("-"), F.lit(" "))
+    numbered = r"^(.*?)[_ ]+(\d+)$"
+    bare = lambda c: F.initcap(F.trim(F.regexp_replace(c, "_+", " ")))
+    return F.when(F.regexp_like(text, F.lit(numbered)), F.concat_ws(" ", bare(F.regexp_extract(text, numbered, 1)), F.regexp_extract(text, numbered, 2))).otherwise(bare(text))

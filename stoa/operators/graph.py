@@ -47,3 +47,64 @@ def broken_steps(steps: DataFrame, edges: DataFrame) -> DataFrame:
     before = F.lag("node").over(Window.partitionBy("plan_id").orderBy("step"))
     moves = steps.withColumn("before", before).where("before is not null")
     return moves.join(edges, (edges["src"] == moves["before"]) & (edges["dst"] == moves["node"]), "left_anti")
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, through: DataFrame | None = None, most: int = 1000) -> DataFrame:
+    """``(start, node, path)``: from each start, the first shortest path to each other node within reach.
+
+    ``edges``: ``src, dst, place``, the last being the neighbour's place in its list; of paths equally long, the one
+    with the smaller places wins. If ``through`` (``node``) is given, only its nodes and starts are passed through;
+    others can be ends. ``path`` leaves the start out. Each wave meets only nodes that its start hasn't seen.
+    """
+    seen = cut(starts.select("start", F.col("start").alias("node"), F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("places")).distinct())
+    wave = seen
+    for _ in range(most):
+        ahead = wave.join(edges, wave["node"] == edges["src"]).select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("places", F.array(F.col("place").cast("int"))).alias("places"))
+        first = ahead.groupBy("start", "node").agg(F.min_by(F.struct("path", "places"), "places").alias("p")).select("start", "node", "p.*")
+        wave = cut(first.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
+        if wave.isEmpty():
+            break
+        seen = seen.unionByName(wave)
+        wave = wave if through is None else wave.join(through, "node", "left_semi").select(*wave.columns)
+    return seen.select("start", "node", "path")
+
+
+def validated_plans(plans: DataFrame, nodes: DataFrame, edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """Each plan's ``status, reason, destination, path, kinds`` on a navigation graph.
+
+    ``plans``: ``plan_id, start, stops, grasps, talks, error``; ``nodes``: ``node, marker``; ``edges``: ``src, dst,
+    place``; ``objects``: ``object``. Names match whatever their case. A leg goes through nodes marked ``O`` if it can
+    (kind ``o_only``), else through any (``fallback``). The first fault in order of legs is the reason. ``path`` joins the legs.
+    """
+    names = nodes.groupBy(F.lower("node").alias("key")).agg(F.max("node").alias("name"))
+    things = objects.select(F.lower("object").alias("thing")).distinct()
+    key = lambda c: F.lower(F.trim(F.col(c)))
+    begun = plans.join(names.select(F.col("key").alias("k"), F.col("name").alias("at")), key("start") == F.col("k"), "left").drop("k")
+    stops = begun.select("plan_id", "at", F.posexplode("stops").alias("leg", "stop"))
+    legs = stops.join(names, key("stop") == F.col("key"), "left").select("plan_id", "at", "leg", "stop", "name")
+    before = F.lag("name").over(Window.partitionBy("plan_id").orderBy("leg"))
+    legs = legs.withColumn("origin", F.when(F.col("leg") == 0, F.col("at")).otherwise(before))
+    starts = legs.where("origin is not null").select(F.col("origin").alias("start")).distinct()
+    marked = nodes.where("marker = 'O'").select("node")
+    wide, narrow = shortest_paths(edges, starts), shortest_paths(edges, starts, marked)
+    to = lambda paths, name: paths.select(F.col("start").alias("origin"), F.col("node").alias("name"), F.col("path").alias(name))
+    legs = legs.join(to(narrow, "short"), ["origin", "name"], "left").join(to(wide, "any"), ["origin", "name"], "left")
+    fault = F.when(F.col("name").isNull(), F.concat(F.lit("Node does not exist: "), "stop")).when(F.col("any").isNull(), F.concat(F.lit("No path found for segment "), (F.col("leg") + 1).cast("string")))
+    legs = legs.select("plan_id", F.struct("leg", "name", fault.alias("fault"), F.coalesce("short", "any").alias("path"), F.when(F.col("short").isNotNull(), "o_only").otherwise("fallback").alias("kind")).alias("s"))
+    walked = legs.groupBy("plan_id").agg(F.array_sort(F.collect_list("s")).alias("s"))  # one plan's legs
+    missing = begun.select("plan_id", F.posexplode("grasps").alias("i", "grasp")).join(things, key("grasp") == F.col("thing"), "left_anti")
+    missing = missing.groupBy("plan_id").agg(F.min_by("grasp", "i").alias("lost"))
+    all_ = begun.join(walked, "plan_id", "left").join(missing, "plan_id", "left")
+    leg_fault = F.get(F.array_compact(F.transform("s", lambda x: x["fault"])), F.lit(0))
+    nothing = F.size("stops") == 0
+    reason = F.coalesce(
+        F.col("error"), F.when(F.col("at").isNull(), F.concat(F.lit("Start node does not exist: "), "start")),
+        F.when(nothing & F.col("lost").isNotNull(), F.concat(F.lit("Object not present in scene graph: "), "lost")), F.when(~nothing, leg_fault),
+    )
+    good = F.when(reason.isNull(), F.lit(True))
+    return all_.select(
+        "plan_id", F.when(good, "VALID").otherwise("INVALID").alias("status"), reason.alias("reason"),
+        F.when(good, F.coalesce(F.element_at(F.transform("s", lambda x: x["name"]), -1), F.col("at"))).alias("destination"),
+        F.when(good, F.flatten(F.coalesce(F.transform("s", lambda x: x["path"]), F.array().cast("array<array<string>>")))).alias("path"),
+        F.when(good, F.coalesce(F.transform("s", lambda x: x["kind"]), F.array().cast("array<string>"))).alias("kinds"),
+    )

@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return keep
 
 
-from stoa.plans import clouds, colours, graphs, labels, robots, scenes, texts  # noqa: E402, F401  each registers its queries
+from stoa.plans import clouds, colours, graphs, labels, objects, plans, robots, scenes, texts  # noqa: E402, F401  each registers its queries
