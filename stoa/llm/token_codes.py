@@ -32,12 +32,12 @@ _PLAIN = re.compile("[a-zß-öø-ÿ]+")  # lower case, composed, letters only: o
 class _Encoder:
     """Ids of whole texts by a tokenizer file whose pre-tokens never cross white space.
 
-    A text is cut at white space and each part is encoded by the library once, then kept for the next time:
-    the last ``keep`` to ``2 * keep`` parts of at most 32 characters, about 16 MB. Texts with a special token's
-    string or an information separator are encoded whole.
+    A text is cut at white space and each part is encoded by the library once, then kept until the task ends: the
+    last ``keep`` to ``2 * keep`` parts of at most 32 characters, some 200 bytes each. Texts with a special
+    token's string or an information separator are encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 40_000):
+    def __init__(self, path: str, keep: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,11 +49,8 @@ class _Encoder:
         self.bytes = {b: chr(b) for b in table} | {b: chr(256 + k) for k, b in enumerate(rest)}  # the byte-level alphabet
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        letters = word if word.isascii() else word.encode().decode("latin1").translate(self.bytes)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _part(self, part: str) -> bytes:
         mark = part[-1] if part[-1] in ".," else ""
@@ -61,7 +58,11 @@ class _Encoder:
         word = word.lower() if word.isascii() else word
         if not _PLAIN.fullmatch(word):
             return self._whole(part)
-        ids = self._kept(word, self._word)
+        ids = self.known.get(word)
+        if ids is None:
+            letters = word if word.isascii() else word.encode().decode("latin1").translate(self.bytes)
+            tokens = self.tokenizer.model.tokenize(letters)
+            ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
         return ids + self._kept(mark, self._whole) if mark else ids
 
     def _kept(self, part: str, ids_of: Callable[[str], bytes]) -> bytes:
@@ -74,20 +75,25 @@ class _Encoder:
                 self.known[part] = ids
         return ids
 
+    def forget(self) -> None:
+        self.known, self.before = {}, {}
+
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self._whole(text)
         out = []
         for _, piece in cp.pieces(text):
-            for part in piece.split():
-                ids = self.known.get(part)
-                out.append(self._kept(part, self._part) if ids is None else ids)
+            parts = piece.split()
+            ids = list(map(self.known.get, parts))
+            for k in [k for k, own in enumerate(ids) if own is None]:
+                ids[k] = self._kept(parts[k], self._part)
+            out += ids
         return b"".join(out)
 
 
 @cache
 def _encoder(path: str) -> _Encoder:
-    return _Encoder(path)  # one for each Python worker
+    return _Encoder(path)  # one for each Python worker; its parts go with each task
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int | None) -> Iterator[pa.RecordBatch]:
@@ -99,6 +105,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int | No
         for at, some in cp.slices(t.as_py() for t in batch.column(1)):
             ids = pa.array([encoder(t) + end for t in some], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), ids], names=["doc_id", "ids"])
+    encoder.forget()
 
 
 def write_codes(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = 2) -> None:
