@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -26,57 +26,59 @@ def register(spark: SparkSession) -> None:
 
 # --- encoding ----------------------------------------------------------------------------------------------
 
-_PLAIN = re.compile("[a-zß-öø-ÿ]+")  # lower case, composed, letters only: one pre-token, changed by no normaliser
+# letters whose lower case is the normaliser's, composed, then marks: one pre-token each
+_SHAPE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
 class _Encoder:
     """Ids of whole texts by a tokenizer file whose pre-tokens never cross white space.
 
-    A text is cut at white space and each part is encoded by the library once, then kept until the task ends: the
-    last ``keep`` to ``2 * keep`` parts of at most 32 characters, some 200 bytes each. Texts with a special
-    token's string or an information separator are encoded whole.
+    A text is cut at white space and each part is encoded by the library once a task. Plain words in lower case, and
+    the marks at their ends, are kept beyond the task: the last ``keep`` to ``2 * keep`` of them, some 200 bytes each. Texts with a special token's string or an information separator are encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 150_000):
+    def __init__(self, path: str, keep: int = 80_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special += ["\x1c", "\x1d", "\x1e", "\x1f"]  # str.split takes these for white space, the tokenizer doesn't
-        self.keep, self.known, self.before = keep, {}, {}
         table = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(table)]
         self.bytes = {b: chr(b) for b in table} | {b: chr(256 + k) for k, b in enumerate(rest)}  # the byte-level alphabet
+        self.keep, self.words, self.older = keep, {}, {}
+        self.parts: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _part(self, part: str) -> bytes:
-        mark = part[-1] if part[-1] in ".," else ""
-        word = part[:-1] if mark else part
-        word = word.lower() if word.isascii() else word
-        if not _PLAIN.fullmatch(word):
-            return self._whole(part)
-        ids = self.known.get(word)
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token."""
+        ids = self.older.get(piece)
         if ids is None:
-            letters = word if word.isascii() else word.encode().decode("latin1").translate(self.bytes)
+            letters = piece if piece.isascii() else piece.encode().decode("latin1").translate(self.bytes)
             tokens = self.tokenizer.model.tokenize(letters)
             ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-        return ids + self._kept(mark, self._whole) if mark else ids
+        if len(piece) <= 32:
+            if len(self.words) >= self.keep:
+                self.older, self.words = self.words, {}
+            self.words[piece] = ids
+        return ids
 
-    def _kept(self, part: str, ids_of: Callable[[str], bytes]) -> bytes:
-        ids = self.known.get(part)
+    def _part(self, part: str) -> bytes:
+        shape = _SHAPE.fullmatch(part)
+        if shape is None:
+            return self._whole(part)
+        word, marks = shape.groups()
+        word = word.lower()
+        ids = self.words.get(word)
         if ids is None:
-            ids = self.before.get(part) or ids_of(part)
-            if len(part) <= 32:
-                if len(self.known) >= self.keep:
-                    self.before, self.known = self.known, {}
-                self.known[part] = ids
-        return ids
+            ids = self._piece(word)
+        return ids + (self.words.get(marks) or self._piece(marks)) if marks else ids
 
     def forget(self) -> None:
-        self.known, self.before = {}, {}
+        self.parts = {}
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
@@ -84,16 +86,18 @@ class _Encoder:
         out = []
         for _, piece in cp.pieces(text):
             parts = piece.split()
-            ids = list(map(self.known.get, parts))
+            ids = list(map(self.parts.get, parts))
             for k in [k for k, own in enumerate(ids) if own is None]:
-                ids[k] = self._kept(parts[k], self._part)
+                ids[k] = self.parts[parts[k]] = self._part(parts[k])
             out += ids
+            if len(self.parts) > 4 * self.keep:
+                self.forget()
         return b"".join(out)
 
 
 @cache
 def _encoder(path: str) -> _Encoder:
-    return _Encoder(path)  # one for each Python worker; its parts go with each task
+    return _Encoder(path)  # one for each Python worker
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int | None) -> Iterator[pa.RecordBatch]:
