@@ -83,3 +83,34 @@ def display_label(label: Column) -> Column:
     numbered = r"^(.*?)[_ ]+(\d+)$"
     bare = lambda c: F.initcap(F.trim(F.regexp_replace(c, "_+", " ")))
     return F.when(F.regexp_like(text, F.lit(numbered)), F.concat_ws(" ", bare(F.regexp_extract(text, numbered, 1)), F.regexp_extract(text, numbered, 2))).otherwise(bare(text))
+
+
+def word_repetition_ok(items: Column, most: float = 0.4) -> Column:
+    """Captions of under three words pass; else the most frequent word is at most that share of them."""
+    return (F.size(items) < 3) | (top_share(items) / F.size(items) <= most)
+
+
+def caption_words(text: Column) -> Column:
+    """A caption cut at white space."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+
+
+def caption_flags(text: Column, own: Column, raw: Column, pairs: Column, points: Column, least_words: int = 3, most_words: int = 50, letters: float = 0.5, repetition: float = 0.4, in_a_row: int = 3, phrase: int = 3, least_points: int = 1, most_points: int = 1 << 30) -> dict[str, Column]:
+    """Each filter of a caption by name; a caption is kept if all hold.
+
+    ``own``: ``words`` of the text, ``raw``: ``caption_words``, ``pairs``: its phrases of two and three, all columns
+    of the table, so that each is made once.
+    """
+    return {
+        "filled": F.coalesce(F.trim(text) != "", F.lit(False)), "long_enough": F.coalesce(F.size(own).between(least_words, most_words), F.lit(False)), "lettered": F.coalesce(letter_ratio_ok(text, letters), F.lit(False)),
+        "varied": word_repetition_ok(raw, repetition), "no_stutter": longest_run(raw) <= in_a_row, "no_refrain": (F.size(raw) < 4) | (top_share(pairs) <= phrase), "enough_points": F.coalesce(points.between(least_points, most_points), F.lit(False)),
+    }
+
+
+def anonymised(text: Column, classes: list[str], word: str = "object") -> Column:
+    """Class names, in their order, replaced by ``word`` wherever they stand as whole words; plural forms by its plural."""
+    for name in classes:
+        end = name[:-1] + "ies" if name.endswith("y") else name + ("es" if name.endswith(("s", "x", "z", "ch", "sh")) else "s")
+        for found, put in ((end, word + "s"), (name, word)):
+            text = F.regexp_replace(text, r"(?i)\b" + found.replace(".", r"\.") + r"\b", put)
+    return text

@@ -157,3 +157,8 @@ def relabelled(evidence: DataFrame, items: DataFrame, key: str, least_score: flo
     out = own.join(top, key, "left").withColumn("blocked", block)
     new = F.when(F.col("blocked").isNotNull(), F.col("before")).when(doubt, unknown).otherwise(F.col("best"))
     return out.select(key, "before", new.alias("label"), "score", "margin", "blocked", (F.col("best") != F.col("raw_label")).alias("corrected"))
+
+
+def resume_state(prediction: Column, labels: Column, wanted: Column, prompts: Column, wanted_prompts: Column) -> Column:
+    """``pending`` without a prediction, ``redo`` if it was made with other labels or prompts, else ``done``."""
+    return F.when(prediction.isNull(), "pending").when((labels != wanted) | (prompts != wanted_prompts), "redo").otherwise("done")

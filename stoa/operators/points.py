@@ -78,3 +78,9 @@ def exact_sample(df: DataFrame, key: str, n: int, seed: int, group: list[str] |
     if group is None:
         return df.orderBy(*order).limit(n)
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
+
+
+def centred(points: DataFrame, axes: list[str]) -> DataFrame:
+    """``points`` moved so that the middle of each axis' extent is zero."""
+    middle = points.agg(*[((F.min(a) + F.max(a)) / 2).alias(f"_mid_{a}") for a in axes])  # one row
+    return points.crossJoin(F.broadcast(middle)).withColumns({a: F.col(a) - F.col(f"_mid_{a}") for a in axes}).drop(*[f"_mid_{a}" for a in axes])
