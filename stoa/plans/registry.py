@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return keep
 
 
-from stoa.plans import captions, chunks, clouds, colours, geometry, graphs, intake, labels, masks, objects, plans, robots, scenes, texts  # noqa: E402, F401  each registers its queries
+from stoa.plans import captions, chunks, clouds, colours, geometry, graphs, intake, labels, masks, objects, plans, robots, rooms, scenes, texts  # noqa: E402, F401  each registers its queries
