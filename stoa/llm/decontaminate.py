@@ -5,7 +5,9 @@ cut into overlapping probes of ``length`` characters, and of ``SHORT`` character
 excerpt of ``SHORT + STRIDE - 1`` = 70 such characters holds a whole short probe wherever it starts. An occurrence of a probe with at most ``e`` edits shares
 ``length + 1 - q * (e + 1)`` of its q-grams, on diagonals (text place less probe place) at most ``e`` apart.
 Shared q-grams are counted in bands of 16 diagonals that overlap by ``e``; bands that reach the bound are
-aligned, and a probe within its edit budget makes the document a hit of its item.
+aligned, and a probe within its edit budget makes the document a hit of its item. Items shorter than a q-gram are
+found where they stand as whole words, without edits. Long texts go through in windows that overlap by more than a
+probe, so what a task holds is bounded whatever the texts.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from pyspark.sql import functions as F
 
 from stoa.llm import codepoints as cp
 from stoa.llm.memory import give_back, small_batches
+from stoa.session import written
 
 BAND = 16
 SHORT, STRIDE = 64, 7
 SLICE_CHARS = 1 << 16  # each place of a benchmark passage meets some ten probes
+ENTRIES = 1 << 21  # of places with probes that are held at once
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -72,6 +76,12 @@ class Probes:
     probe: np.ndarray
     place: np.ndarray
     q: int
+    tiny: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    @property
+    def reach(self) -> int:
+        """Characters that an occurrence may take, with room for its band."""
+        return max([0, *map(len, self.chars)]) + 4 * BAND + 4 * int(self.budget.max(initial=0)) + self.q
 
     @cached_property
     def table(self) -> np.ndarray:
@@ -84,14 +94,17 @@ class Probes:
     def of(cls, items: list[tuple[int, str]], q: int, length: int, errors: float) -> Probes:
         """Probes start every half length, short ones every ``STRIDE``; the last of each ends with the item.
 
-        An item of fewer than ``q`` characters has none.
+        An item of fewer than ``q`` characters is kept whole instead, by its length.
         """
         item, chars, short = [], [], []
+        whole: dict[int, list[tuple[int, int]]] = {}
         for key, text in items:
             x = normalised([text or ""])[0]
             x = x[x != 0]
             x = x[:-1] if len(x) and x[-1] == 32 else x
             if len(x) < q:
+                if len(x):
+                    whole.setdefault(len(x), []).append((int(qgram_hashes(x, len(x))[0]), key))
                 continue
             for wide, step in ((length, max(1, length // 2)), *[(SHORT, STRIDE)] * (SHORT < min(length, len(x)))):
                 size = min(wide, len(x))
@@ -107,7 +120,8 @@ class Probes:
         place = np.concatenate([np.arange(len(h)) for h in hashes] or [np.zeros(0, np.int64)])
         order = np.argsort(flat, kind="stable")
         grams, first = np.unique(flat[order], return_index=True)
-        return cls(np.array(item, np.int64), np.array(short, bool), chars, budget, sizes + 1 - q * (budget + 1), grams, np.append(first, len(flat)), probe[order], place[order], q)
+        tiny = {n: (np.array([h for h, _ in sorted(own)], np.uint64), np.array([k for _, k in sorted(own)], np.int64)) for n, own in whole.items()}
+        return cls(np.array(item, np.int64), np.array(short, bool), chars, budget, sizes + 1 - q * (budget + 1), grams, np.append(first, len(flat)), probe[order], place[order], q, tiny)
 
 
 def banded_distance(probe: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,21 +140,70 @@ def banded_distance(probe: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray,
     return cost.min(1), cost.argmin(1) + size
 
 
-def hits_in(texts: list[str], probes: Probes) -> list[tuple[int, int, int, int, int]]:
-    """``(text, item, start, end, edits)`` of the best probe of each item found in each text; offsets in characters.
-
-    Probes of full length go before short ones.
-    """
+Found = dict[tuple[int, int], tuple[bool, int, int, int]]  # by text and item: by a short probe, edits, start, end
+
+
+def _merge(into: Found, more: Found, text: int, at: int) -> None:
+    for (t, item), (short, edits, start, end) in more.items():
+        found = (short, edits, start + at, end + at)
+        into[t + text, item] = min(into.get((t + text, item), found), found)
+
+
+def _windowed(text: str, probes: Probes, size: int, depth: int = 0) -> Found:
+    """The hits of one long text, by windows of ``size`` characters that overlap by what an occurrence may take."""
+    best: Found = {}
+    at, wide = 0, size
+    while True:
+        piece = text[at : at + wide]
+        kept = normalised([piece])[1][:-1]
+        last = at + wide >= len(text)
+        if not last and len(kept) <= 2 * probes.reach:  # mostly blanks and symbols: more of it
+            wide *= 2
+            continue
+        _merge(best, _best_in([piece], probes, max(size, len(piece)), depth), 0, at)
+        if last:
+            return best
+        at, wide = at + int(kept[-probes.reach - 1]), size
+
+
+def _whole_words(x: np.ndarray, at: np.ndarray, first: np.ndarray, starts: np.ndarray, probes: Probes) -> Found:
+    """Items of under ``q`` characters that stand as whole words."""
+    best: Found = {}
+    for n, (hashes, items) in probes.tiny.items():
+        h = qgram_hashes(x, n)
+        spot = np.flatnonzero(np.isin(h, hashes))
+        spot = spot[((spot == 0) | (x[spot - 1] <= 32)) & (x[spot + n] <= 32)] if len(spot) else spot
+        text = np.searchsorted(first, spot, "right") - 1
+        for t, own, s in sorted({(int(t), int(k), int(s)) for t, k, s in zip(text, h[spot], spot, strict=True)}, reverse=True):
+            for item in items[np.searchsorted(hashes, np.uint64(own)) : np.searchsorted(hashes, np.uint64(own), "right")].tolist():
+                best[t, item] = (False, 0, int(at[s] - starts[t]), int(at[s + n - 1] + 1 - starts[t]))
+    return best
+
+
+def _best_in(texts: list[str], probes: Probes, size: int, depth: int = 0) -> Found:
+    """The best probe of each item found in each text; probes of full length go before short ones."""
+    if len(texts) == 1 and len(texts[0]) > size:
+        return _windowed(texts[0], probes, size, depth)
     q = probes.q
     x, at, first, starts = normalised(texts)
+    best = _whole_words(x, at, first, starts, probes) if probes.tiny else {}
     h = qgram_hashes(x, q)
     if not len(h) or not len(probes.grams):
-        return []
+        return best
     spot = np.flatnonzero(probes.table[(h >> np.uint64(42)).astype(np.int64)])
     k = np.minimum(np.searchsorted(probes.grams, h[spot]), len(probes.grams) - 1)
     same = probes.grams[k] == h[spot]
     spot, k = spot[same], k[same]
     many = probes.first[k + 1] - probes.first[k]
+    if int(many.sum()) > ENTRIES:  # q-grams that many probes share: in smaller parts
+        if len(texts) > 1:
+            half = len(texts) // 2
+            for part, own in ((0, texts[:half]), (half, texts[half:])):
+                _merge(best, _best_in(own, probes, size, depth), part, 0)
+            return best
+        if len(x) > 16 * probes.reach and depth < 6:
+            _merge(best, _windowed(texts[0], probes, len(texts[0]) // 4, depth + 1), 0, 0)
+            return best
     entry = np.repeat(probes.first[k] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
     spot = np.repeat(spot, many)
     probe, place = probes.probe[entry], probes.place[entry]
@@ -149,60 +212,66 @@ def hits_in(texts: list[str], probes: Probes) -> list[tuple[int, int, int, int,
     low = diagonal % BAND < probes.budget[probe]  # also in the band before
     probe, place, band = np.concatenate([probe, probe[low]]), np.concatenate([place, place[low]]), np.concatenate([diagonal // BAND, diagonal[low] // BAND - 1])
     if not len(probe):
-        return []
+        return best
     wide = int(band.max()) + 1
     places = int(place.max()) + 1
     seen = np.unique((probe * wide + band) * places + place)
     key, shared = np.unique(seen // places, return_counts=True)
     key = key[shared >= probes.bound[key // wide]]
     probe, left = key // wide, (key % wide) * BAND - shift
-    best: dict[tuple[int, int], tuple[bool, int, int, int]] = {}
     padded = np.concatenate([np.zeros(2 * shift, np.uint32), x, np.zeros(2 * shift + 64, np.uint32)])
     sizes = np.array([len(c) for c in probes.chars])
-    for size, e in {(int(sizes[p]), int(probes.budget[p])) for p in probe}:
-        some = np.flatnonzero((sizes[probe] == size) & (probes.budget[probe] == e))
+    for size_, e in {(int(sizes[p]), int(probes.budget[p])) for p in probe}:
+        some = np.flatnonzero((sizes[probe] == size_) & (probes.budget[probe] == e))
         for chunk in np.array_split(some, -(-len(some) // 4096)):
             start = left[chunk] - e
-            cells = start[:, None] + 2 * shift + np.arange(size + BAND + 3 * e)
+            cells = start[:, None] + 2 * shift + np.arange(size_ + BAND + 3 * e)
             edits, end = banded_distance(np.stack([probes.chars[p] for p in probe[chunk]]), padded[cells])
             for c in np.flatnonzero(edits <= e).tolist():
                 stop = int(min(max(start[c] + end[c], 1), len(x)))
-                begin = max(0, stop - size)
+                begin = max(0, stop - size_)
                 text = int(np.searchsorted(first, max(stop - 1, 0), "right") - 1)
                 begin = max(begin, int(first[text]))
                 name = (text, int(probes.item[probe[chunk[c]]]))
                 found = (bool(probes.short[probe[chunk[c]]]), int(edits[c]), int(at[begin] - starts[text]), int(at[stop - 1] + 1 - starts[text]))
                 best[name] = min(best.get(name, found), found)
-    return [(t, i, s, e, d) for (t, i), (_, d, s, e) in sorted(best.items())]
+    return best
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                   q: int = 12, length: int = 100, errors: float = 0.05, block_chars: int = 800_000) -> DataFrame:
-    """``(doc_id, item_id, start, end, edits)``: for each row of ``docs`` and item found in it, the best place.
+def hits_in(texts: list[str], probes: Probes) -> list[tuple[int, int, int, int, int]]:
+    """``(text, item, start, end, edits)`` of the best place of each item found in each text; offsets in characters."""
+    return [(t, i, s, e, d) for (t, i), (_, d, s, e) in sorted(_best_in(texts, probes, SLICE_CHARS).items())]
 
-    Verbatim excerpts of 70 characters, as compared, are always found; shorter ones may be missed.
 
-    Null texts, and items of under ``q`` characters once normalised, give nothing; items without an id give hits with
-    none; repeated rows repeat their hits. The benchmark goes out in blocks of about ``block_chars`` characters, one pass over the documents
-    each, so what a task holds is bounded however long the benchmark is.
-    """
-    small_batches(docs.sparkSession)
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, q: int, length: int, errors: float, block_chars: int) -> Iterator[tuple[Probes, pa.Array]]:
+    """Probes of one block of items after another, and the ids of the items by their number in the block."""
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     total = items.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_chars))
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    kind = narrow.schema["doc_id"].dataType
-    shape = f"doc_id {kind.simpleString()}, item_id long, start int, end int, edits int"
-
-    def one(block: int) -> DataFrame:
+    for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()
         pairs = sorted({(r["i"] is None, r["i"] or 0, r["t"]) for r in own})
         # an item's rows share a number; without an id each text has its own
         names = sorted({(none, i, t if none else "") for none, i, t in pairs})
         number = {name: k for k, name in enumerate(names)}
         ids = pa.array([None if none else i for none, i, _ in names], pa.int64())
-        probes = Probes.of([(number[none, i, t if none else ""], t) for none, i, t in pairs], q, length, errors)
+        yield Probes.of([(number[none, i, t if none else ""], t) for none, i, t in pairs], q, length, errors), ids
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+                   q: int = 12, length: int = 100, errors: float = 0.05, block_chars: int = 800_000) -> DataFrame:
+    """``(doc_id, item_id, start, end, edits)``: for each row of ``docs`` and item found in it, the best place.
+
+    Verbatim excerpts of 70 characters, as compared, are always found; shorter ones may be missed, but items of under
+    ``q`` characters are found as whole words. Null texts, and items without a letter or digit, give nothing; items
+    without an id give hits with none; repeated rows repeat their hits. The benchmark goes out in blocks of about
+    ``block_chars`` characters, one pass over the documents each, so what a task holds is bounded however long it is.
+    """
+    small_batches(docs.sparkSession)
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
+    shape = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, item_id long, start int, end int, edits int"
 
+    def one(probes: Probes, ids: pa.Array) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at, some in cp.slices((t.as_py() for t in batch.column(1)), SLICE_CHARS):
@@ -215,10 +284,27 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
 
         return narrow.mapInArrow(search, shape)
 
-    return reduce(DataFrame.unionByName, [one(b) for b in range(blocks)])
+    return reduce(DataFrame.unionByName, [one(*b) for b in _blocks(benchmark, item_id, item_text, q, length, errors, block_chars)])
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` less the rows whose id has a hit. Rows without an id stay."""
-    found = benchmark_hits(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, F.col(doc_id) == F.col("_hit"), "left_anti")
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+                      q: int = 12, length: int = 100, errors: float = 0.05, block_chars: int = 800_000) -> DataFrame:
+    """``docs`` less the rows with a hit, each row judged on its own: ids, repeats and other columns don't matter.
+
+    One pass over the rows; a benchmark of more blocks takes one each, over what the one before left.
+    """
+    small_batches(docs.sparkSession)
+    place = docs.columns.index(text)
+    for k, (probes, _) in enumerate(_blocks(benchmark, item_id, item_text, q, length, errors, block_chars)):
+        docs = written(docs, "clean") if k else docs
+
+        def clean(batches: Iterator[pa.RecordBatch], probes: Probes = probes) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for at, some in cp.slices((t.as_py() for t in batch.column(place)), SLICE_CHARS):
+                    keep[[at + h[0] for h in hits_in(some, probes)]] = False
+                yield batch.filter(pa.array(keep))
+            give_back()
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

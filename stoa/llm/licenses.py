@@ -33,6 +33,14 @@ TEMPLATES: dict[str, str] = {
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "MIT warranty": "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "CC-BY-SA-4.0 line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
 }
 
 
@@ -100,11 +108,19 @@ def notices(texts: list[str], templates: dict[str, str], coverage: float, densit
     a, b, hashes = _words(points)
     doc = np.searchsorted(starts, a, "right") - 1
     found = []
-    for name, template in templates.items():
-        own = _words(cp.joined([template])[0])[2]
+    own_words = {name: _words(cp.joined([t])[0])[2] for name, t in templates.items()}
+    known = np.unique(np.concatenate([*own_words.values(), np.zeros(0, np.uint64)]))
+    k = np.searchsorted(known, hashes)
+    at = np.flatnonzero(known[np.minimum(k, len(known) - 1)] == hashes) if len(known) else np.zeros(0, np.int64)
+    k = k[at]  # the words that any template has; which of them a template has is looked up by their number
+    for name, own in own_words.items():
+        if not len(own):
+            continue
         need = int(np.ceil(coverage * len(own)))
         reach = int(len(own) / density)
-        spot = np.flatnonzero(np.isin(hashes, own))
+        has = np.zeros(len(known), bool)
+        has[np.searchsorted(known, own)] = True
+        spot = at[has[k]]
         if len(spot) < need:
             continue
         last = spot[need - 1 :]  # a stretch of enough of the template's words, from spot to last

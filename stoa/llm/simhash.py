@@ -10,6 +10,7 @@ of them: every linked pair meets in some bucket. No pair can be missed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stoa.llm.memory import small_batches
 from stoa.operators.components import connected_components
-from stoa.session import cut, written
+from stoa.session import cut, free_name, join_skewed, written
 
 SEED = 42
 
@@ -99,8 +101,12 @@ def fingerprint_links(prints: DataFrame, radius: int = 4, bucket_cap: int = 32_7
 
     Buckets of two are compared in place. Larger ones are gathered as arrays and give a spanning forest each,
     never their pairs. Buckets above ``bucket_cap`` are split by another level of covering masks (any linked
-    pair within the bucket meets again in one of its parts), so no gathered array exceeds the cap.
+    pair within the bucket meets again in one of its parts) until none is left. A level leaves free about half of
+    the bits that still were, and no bucket holds more fingerprints than its free bits allow: at radius 4 these are at
+    most 32, 23, 16 and 13 bits after one to four levels. Fingerprints that differ in ``radius`` bits alone always
+    meet, so the cap is not under ``2**radius``.
     """
+    bucket_cap = max(bucket_cap, 2**radius)
 
     @F.pandas_udf("array<array<long>>")
     def forest(groups: pd.Series) -> pd.Series:
@@ -109,7 +115,7 @@ def fingerprint_links(prints: DataFrame, radius: int = 4, bucket_cap: int = 32_7
     found = []
     keys: list[str] = []
     members = prints.select("fp").distinct()
-    for level in range(8):
+    for level in count():
         masks = covering_masks(radius, level)
         tables = F.explode(
             F.array(*[F.struct(F.lit(v).cast("short").alias(f"t{level}"), F.col("fp").bitwiseAND(F.lit(m)).alias(f"k{level}")) for v, m in enumerate(masks)])
@@ -120,12 +126,11 @@ def fingerprint_links(prints: DataFrame, radius: int = 4, bucket_cap: int = 32_7
         found.append(
             buckets.where((F.col("n") == 2) & (F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius)).select(F.col("lo").alias("src"), F.col("hi").alias("dst"))
         )
-        last = level == 7  # by then at most a handful of bits are free
-        middle = buckets.where((F.col("n") > 2) & ((F.col("n") <= bucket_cap) | F.lit(last))).select(*keys)
+        middle = buckets.where((F.col("n") > 2) & (F.col("n") <= bucket_cap)).select(*keys)
         grouped = spread.join(middle, keys).groupBy(*keys).agg(F.collect_list("fp").alias("fps"))
         found.append(grouped.select(F.explode(forest("fps")).alias("l")).select(F.col("l")[0].alias("src"), F.col("l")[1].alias("dst")))
         hot = buckets.where(F.col("n") > bucket_cap).select(*keys)
-        if last or hot.isEmpty():
+        if hot.isEmpty():
             break
         members = cut(spread.join(hot, keys))
     links = found[0]
@@ -141,23 +146,34 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fingerprints link at zero bits. Null texts count as empty. A null id gets a row; it is never a component's
     smallest id unless all its ids are null. Repeated rows give repeated results. An empty table gives none.
     """
+    small_batches(docs.sparkSession)
     base = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text), words).alias("fp")), "simhash")
-    firsts = base.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    return _grouped(base, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _grouped(base: DataFrame, radius: int) -> DataFrame:
+    """``base`` (``doc_id, fp`` and more) with ``component_id``. A fingerprint or a component may hold any share of the rows."""
+    firsts = base.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     linked = connected_components(fingerprint_links(firsts, radius))
-    rooted = firsts.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = rooted.join(named, "root").select("fp", "component_id")
-    return base.join(labels, "fp", "left").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    rooted = written(firsts.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", "rows", F.coalesce("component", "fp").alias("root")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+    labels = join_skewed(rooted, named, "root", "prints").select("fp", "component_id", "rows")
+    return join_skewed(base, labels, "fp", "rows")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that with the smallest id. Columns stay as they are.
+    """``docs`` with one row of each near-duplicate group: that with the smallest id, rows without id last.
 
-    Rows without an id belong to no group that can be named and all stay.
+    Rows are told apart by themselves: repeated ids with other texts are judged apart, and ties of id go to the
+    smaller fingerprint, then to the smaller hash of the whole row. Columns stay as they are.
     """
-    groups = simhash_groups(docs, doc_id, text, words, radius)
-    keep = groups.select(F.col("component_id").alias("_keep")).where("_keep is not null").distinct()
-    kept = docs.join(keep, F.col(doc_id) == F.col("_keep"), "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    small_batches(docs.sparkSession)
+    fp, own = free_name(docs, "_print"), free_name(docs, "_row")
+    held = written(docs.withColumn(fp, fingerprint_column(F.col(text), words)).withColumn(own, F.monotonically_increasing_id()), "simhash")
+    rows = held.select(F.col(own).alias("row"), F.col(fp).alias("fp"), F.col(doc_id).alias("id"), F.xxhash64(*docs.columns).alias("all"))
+    prints = rows.select("fp").distinct()
+    linked = connected_components(fingerprint_links(prints, radius))
+    best = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "all", "row")).alias("first"))
+    rooted = best.join(linked, F.col("fp") == F.col("node"), "left").select(F.coalesce("component", "fp").alias("root"), "first")
+    keep = rooted.groupBy("root").agg(F.min("first")["row"].alias(own)).select(own)
+    return held.join(keep, own, "left_semi").select(*docs.columns)

@@ -210,13 +210,13 @@ def repeated_windows(parts: list[bytes], windows: np.ndarray, n: int) -> list[np
 def repeated_spans(docs: DataFrame, n: int = 200, hot_segments: int = 65_536) -> DataFrame:
     """``(k1, k2, spans)``: for each text with repeated windows, the ``[first, last]`` starts of runs of them.
 
-    ``docs``: ``doc_id, text, k1, k2``, the last two naming the text. A key with over ``hot_segments`` different
+    ``docs``: ``row, text, k1, k2``, the last two naming the text and ``row`` a long that tells its rows apart. A key with over ``hot_segments`` different
     segments is not gathered: its windows are merged one by one instead, which leaves nothing to sort.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [np.asarray(batch.column(i).fill_null(-(2**63)) if i == 0 else batch.column(i)) for i in (0, 1, 2)]
+            names = [np.asarray(batch.column(i)) for i in (0, 1, 2)]
             for at, raw in _byte_slices(batch.column(3).to_pylist()):
                 text, first, windows, key, own = segments(raw, n)
                 yield pa.RecordBatch.from_arrays(
@@ -226,7 +226,7 @@ def repeated_spans(docs: DataFrame, n: int = 200, hot_segments: int = 65_536) ->
         give_back()
 
     shape = "key long, own long, d long, k1 long, k2 long, first int, windows int"
-    found = written(docs.select("doc_id", "k1", "k2", "text").mapInArrow(cut, shape), "segments")
+    found = written(docs.select("row", "k1", "k2", "text").mapInArrow(cut, shape), "segments")
     merged = found.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n"))
     keys = merged.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("rows")).where("rows > 1")
     alike = merged.join(keys.select("key", "kinds"), "key")
@@ -257,7 +257,7 @@ def repeated_spans(docs: DataFrame, n: int = 200, hot_segments: int = 65_536) ->
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["key", "own", "place", "windows", "part"])
 
     # the texts are dealt by (k1, k2) here and where spans come back to them: one exchange serves both
-    texts = docs.join(wanted, ["k1", "k2"]).where(F.coalesce("doc_id", F.lit(-(2**63))) == F.col("d"))
+    texts = docs.join(wanted, ["k1", "k2"]).where(F.col("row") == F.col("d"))
     parts = texts.select("text", "want").mapInArrow(fetch, "key long, own long, place int, windows int, part binary")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +316,7 @@ def without_repeats(docs: DataFrame, n: int = 200, doc_id: str = "doc_id", text:
     under ``n`` bytes stay whole. Repeated rows are copies of each other, so both lose all bytes if long enough.
     """
     small_batches(docs.sparkSession)
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("k1"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(-1)).alias("k2"))
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id).alias("row"), F.col(text).alias("text"), F.xxhash64(text).alias("k1"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(-1)).alias("k2"))
     spans = repeated_spans(named, n)
 
     @F.pandas_udf("n_bytes long, removed array<struct<start: int, end: int>>, kept binary")

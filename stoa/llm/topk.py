@@ -151,7 +151,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str
     Both tables have ``vec_id`` and ``vector``; components become ``floor(scale * x)``. Ties go to the smaller
     id; rows of the query's id are its own; fewer than ``k`` others give fewer rows. Vectors that are null, have
     null or non-finite parts, or no id take no part; vectors of another number of components never meet.
-    Repeated candidate rows count as often as they occur; repeated query rows give one answer.
+    Repeated candidate rows count as often as they occur; query rows of one id give one answer, by its least vector.
+    A block of queries goes to those blocks of vectors alone that are long enough for the least of its thresholds.
     """
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -161,12 +162,12 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str
 
     with _batches_of(spark, 2048):
         buckets = written(_blocks(clean(vectors), parts, bucket_rows), "norm-buckets")
-        asked = written(_blocks(clean(queries).dropDuplicates(["vec_id"]), parts, query_rows).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "query-blocks")
+        asked = written(_blocks(clean(queries).groupBy("vec_id").agg(F.min("v").alias("v")), parts, query_rows).select("dim", F.col("longest").alias("q_longest"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "query-blocks")
 
     def search(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for dim, q_ids, q_data, theta, c_ids, c_data in zip(*(batch.column(n).to_pylist() for n in ("dim", "q_ids", "q_data", "theta", "ids", "data")), strict=True):
+                for dim, q_longest, q_ids, q_data, theta, c_ids, c_data in zip(*(batch.column(n).to_pylist() for n in ("dim", "q_longest", "q_ids", "q_data", "theta", "ids", "data")), strict=True):
                     qi, ci = np.frombuffer(q_ids, "<i8"), np.frombuffer(c_ids, "<i8")
                     q, c = np.frombuffer(q_data, "<i8").reshape(-1, dim), np.frombuffer(c_data, "<i8").reshape(-1, dim)
                     least = np.frombuffer(theta, "<f8") if theta else np.full(len(qi), -np.inf)
@@ -177,7 +178,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str
                         low = np.full(len(qi), np.inf)
                         np.minimum.at(low, row, score.astype(float))
                         least[full] = low[full]
-                        yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([q_ids], pa.binary()), pa.array([q_data], pa.binary()), pa.array([least.astype("<f8").tobytes()], pa.binary())], names=["dim", "q_ids", "q_data", "theta"])
+                        values = ([dim], [q_longest], [float(least.min())], [q_ids], [q_data], [least.astype("<f8").tobytes()])
+                        kinds = (pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=["dim", "q_longest", "least", "q_ids", "q_data", "theta"])
                     else:
                         yield pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
 
@@ -187,10 +190,12 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str
         # the block with the longest vectors gives every query its first threshold
         seeds = buckets.groupBy("dim").agg(F.max_by(F.struct("ids", "data"), F.struct("longest", "ids")).alias("b")).select("dim", "b.*")
         opened = asked.withColumn("theta", F.lit(None).cast("binary")).join(seeds, "dim")
-        opened = written(opened.mapInArrow(search(True), "dim int, q_ids binary, q_data binary, theta binary"), "thresholds")
-        # each block of queries goes once to each bucket of the norm order
-        spread = opened.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        pairs = buckets.join(spread, ["bucket", "dim"]).select("dim", "q_ids", "q_data", "theta", "ids", "data")
+        opened = written(opened.mapInArrow(search(True), "dim int, q_longest double, least double, q_ids binary, q_data binary, theta binary"), "thresholds")
+        # each block of queries goes to each bucket of the norm order whose longest vector could still reach it
+        reach = buckets.groupBy("bucket", "dim").agg(F.max("longest").alias("far"))  # a row a bucket
+        spread = opened.join(reach, "dim").where(F.col("far") * F.col("q_longest") * (1 + SLACK) >= F.col("least"))
+        near = buckets.join(spread.drop("far"), ["bucket", "dim"]).where(F.col("longest") * F.col("q_longest") * (1 + SLACK) >= F.col("least"))
+        pairs = near.select("dim", "q_longest", "q_ids", "q_data", "theta", "ids", "data")
         found = written(pairs.mapInArrow(search(False), "query_id long, vec_id long, score long"), "top-k")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -277,10 +277,13 @@ def test_no_link_is_missed(spark, cap):
 
 
 def test_keep_first(docs, fixture):
-    kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert len(set(ids)) == len(ids) and sum(i is not None and 100 <= i < 120 for i in ids) == 1 and None in ids
+    kept = simhash.keep_first(docs.withColumn("_keep", F.lit(1)).withColumn("_row", F.lit(2)))
+    assert kept.columns == [*docs.columns, "_keep", "_row"]
+    prints = [brute_print(t) for _, t, _ in fixture]
+    groups = {}
+    for (d, _, _), c in zip(fixture, brute_components(prints, list(range(len(fixture)))), strict=True):
+        groups.setdefault(c, []).append((d is None, d or 0))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == sorted(min(g) for g in groups.values())
 
 
 # 6 -----------------------------------------------------------------------------------------------------------
@@ -398,8 +401,44 @@ def test_decontamination(spark):
     for block in (4_000_000, 300):
         got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.benchmark_hits(docs, bench, block_chars=block).collect())
         assert got == [(1, 0), (2, 1), (7, 3), (7, 3), (7, 4), (7, 4)]
-    clean = decontaminate.without_benchmark(docs, bench)
-    assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [3, 4, 5, 6]
+        clean = decontaminate.without_benchmark(docs.withColumn("_hit", F.lit(0)), bench, block_chars=block)
+        assert clean.columns == [*docs.columns, "_hit"] and sorted(r["doc_id"] for r in clean.collect()) == [3, 4, 5, 6]
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "Short one!"), (2, "zz"), (3, "?!"), (4, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "short one"), (2, "a SHORT, one. zz"), (3, "shortone pizza zzz"), (4, "cohort one"), (5, None), (6, "")], "doc_id long, text string")
+    got = sorted(tuple(r)[:2] for r in decontaminate.benchmark_hits(docs, bench).collect())
+    assert got == [(1, 1), (2, 1), (2, 2)]
+
+
+def test_rows_of_one_id_are_judged_apart(spark):
+    rng = random.Random(21)
+    item = sentence(rng, 40)
+    docs = spark.createDataFrame([(1, item), (1, "clean text"), (1, "clean text"), (None, item), (None, "clean too")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r["text"] for r in decontaminate.without_benchmark(docs, bench).collect()) == ["clean text", "clean text", "clean too"]
+    kept = mixing.repeated_by_mix(spark.createDataFrame([(1, "a b c", "s"), (1, "d e f g h", "s"), (1, "d e f g h", "s")], "doc_id long, text string, source string"))
+    taken = [r["text"] for r in kept.collect()]
+    assert abs(sum(len(t.split()) for t in taken) - 1.5 * 13) <= 3 and 1 <= taken.count("a b c") <= 2
+
+
+def test_windows_of_long_texts_and_common_grams(monkeypatch):
+    rng = random.Random(22)
+    items = [(k, sentence(rng, 40)) for k in range(6)]
+    probes = decontaminate.Probes.of(items, 12, 100, 0.05)
+    text = " ".join([sentence(rng, 3000), items[0][1], " . " * 4000, items[1][1], "%" * 9000, sentence(rng, 2000), items[2][1]])
+    want = {h[:2] for h in decontaminate.hits_in([text, items[3][1]], probes)}
+    assert want == {(0, 0), (0, 1), (0, 2), (1, 3)}
+    monkeypatch.setattr(decontaminate, "SLICE_CHARS", 3000)
+    found = decontaminate.hits_in([text], probes)
+    assert {h[1] for h in found} == {0, 1, 2} and all(normal(text[s:e]) in normal(items[i][1]) for _, i, s, e, _ in found)
+    monkeypatch.setattr(decontaminate, "ENTRIES", 500)
+    assert {h[:2] for h in decontaminate.hits_in([text, items[3][1]], probes)} == want
+
+
+def normal(text):
+    return " ".join(re.sub(r"[\W_]+", " ", text.lower()).split())
 
 
 def test_items_without_id_are_found(spark):
