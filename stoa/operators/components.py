@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from stoa.session import cut
 
 
+HUBS = 1000  # nodes with more than this share of all edge ends, so no more than that many, are joined by broadcast
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(
         F.count(F.lit(1)).alias("n"),
@@ -30,11 +33,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
-        least = least.select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("lo > hi").join(least, F.col("hi") == F.col("u")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        ).distinct()
+        least = both.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
+        least = least.select("u", F.least("u", "m").alias("m"), (F.col("n") * HUBS > 2 * state[0]).alias("hub"))
+        up, hubs = both.where("lo > hi"), F.broadcast(least.where("hub").select("u", "m"))
+        met = up.join(hubs, F.col("hi") == F.col("u")).unionByName(
+            up.join(hubs, F.col("hi") == F.col("u"), "left_anti").join(least.where("not hub").select("u", "m"), F.col("hi") == F.col("u"))
+        )
+        large = met.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
         lower = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
         small = (
             large.join(lower, F.col("hi") == F.col("u"))

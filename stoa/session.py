@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a laptop), a temporary folder becomes the checkpoint folder.
+    Where the session names none and runs in this process (tests, a laptop), a temporary folder becomes the
+    checkpoint folder; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -25,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = "file://" + tempfile.mkdtemp(prefix="spark-stoa-")
         context.setCheckpointDir(own)
         return own
@@ -62,3 +66,15 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def join_skewed(rows: DataFrame, names: DataFrame, key: str, weight: str, most: int = 1000) -> DataFrame:
+    """``rows`` joined with ``names`` (one row a key) on ``key``, whatever share of the rows one key has.
+
+    ``weight`` of ``names`` says how many rows bear the key, and is dropped. Keys of more than ``1 / most`` of all
+    rows, of which there can be no more than ``most``, come by broadcast; the others by shuffle.
+    """
+    total = names.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    heavy = F.col(weight) * most > total
+    hot, cool = F.broadcast(names.where(heavy).drop(weight)), names.where(~heavy).drop(weight)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cool, key))
