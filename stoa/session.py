@@ -72,8 +72,9 @@ def join_skewed(rows: DataFrame, names: DataFrame, key: str, weight: str, most:
     """``rows`` joined with ``names`` (one row a key) on ``key``, whatever share of the rows one key has.
 
     ``weight`` of ``names`` says how many rows bear the key, and is dropped. Keys of more than ``1 / most`` of all
-    rows, of which there can be no more than ``most``, come by broadcast; the others by shuffle.
+    rows, of which there can be no more than ``most``, come by broadcast; the others by shuffle. ``names`` is made once.
     """
+    names = cut(names)
     total = names.agg(F.sum(weight).alias("n")).first()["n"] or 0
     heavy = F.col(weight) * most > total
     hot, cool = F.broadcast(names.where(heavy).drop(weight)), names.where(~heavy).drop(weight)
