@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stoa.llm.rows import row_keys, taken_rows
 from stoa.session import broadcast_if_small, written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,12 +57,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0
     return table.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def _drawn(docs: DataFrame, carried: Column, doc_id: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, seed: int = 7,
+def _drawn(docs: DataFrame, carried: list[Column], doc_id: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, seed: int = 7,
            weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """``(doc_id, size, source_size, target, copies, row)``: how often the mix takes each row; ``row`` is ``carried``."""
+    """``(doc_id, size, source_size, target, copies)`` and the ``carried`` columns: how often the mix takes each row."""
+    names = [docs.select(c).columns[0] for c in carried]
     weight = F.greatest(quality if quality is not None else plain_share(F.col(text)), F.lit(1e-6))
     draw = (F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed)), 11) + 0.5) / float(1 << 53)
-    drawn = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), (-F.log(draw) / weight).alias("key"), carried.alias("row"))
+    drawn = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), (-F.log(draw) / weight).alias("key"), *carried)
     drawn = written(drawn.withColumn("bucket", F.floor(F.log2("key") * PER_OCTAVE)), "mixing")
     buckets = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
@@ -82,7 +84,7 @@ def _drawn(docs: DataFrame, carried: Column, doc_id: str = "doc_id", text: str =
     last = rows.where(inside).withColumn("sum", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     last = last.withColumn("more", (F.col("sum") + F.col("size") / 2 <= F.col("rest")).cast("long")).drop("sum")
     others = rows.where(~F.coalesce(inside, F.lit(False))).withColumn("more", F.coalesce(F.col("bucket") < F.col("end_bucket"), F.lit(False)).cast("long"))
-    return others.unionByName(last).select("doc_id", "size", "source_size", "target", (F.col("epochs") + F.col("more")).alias("copies"), "row")
+    return others.unionByName(last).select("doc_id", "size", "source_size", "target", (F.col("epochs") + F.col("more")).alias("copies"), *names)
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
@@ -93,12 +95,13 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     one document in which the target ends. Null texts have no words, a null source is a source, null ids are ids.
     Equal rows draw equal keys and are interchangeable; reruns agree. An empty table gives no row.
     """
-    rows = _drawn(docs, F.lit(None).cast("int"), doc_id, **options)
+    rows = _drawn(docs, [], doc_id, **options)
     return rows.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def repeated_by_mix(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it (a row whose mix is zero goes); rows are drawn one by one,
     whatever ids they share. Columns stay as they are."""
-    rows = _drawn(docs, F.struct(*[docs[c] for c in docs.columns]), doc_id, **options).where("copies > 0")
-    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+    rows = _drawn(docs, row_keys(docs), doc_id, **options)
+    plan = rows.groupBy("k1", "k2").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    return taken_rows(docs, plan)
