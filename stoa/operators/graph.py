@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stoa.session import cut
+from stoa.session import cut, written
 
 
 def tree(edges: DataFrame, root: str, deepest: int = 100) -> DataFrame:
@@ -56,12 +56,12 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, through: DataFrame | Non
     with the smaller places wins. If ``through`` (``node``) is given, only its nodes and starts are passed through;
     others can be ends. ``path`` leaves the start out. Each wave meets only nodes that its start hasn't seen.
     """
-    seen = cut(starts.select("start", F.col("start").alias("node"), F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("places")).distinct())
+    seen = written(starts.select("start", F.col("start").alias("node"), F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("places")).distinct(), "paths")
     wave = seen
     for _ in range(most):
         ahead = wave.join(edges, wave["node"] == edges["src"]).select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("places", F.array(F.col("place").cast("int"))).alias("places"))
         first = ahead.groupBy("start", "node").agg(F.min_by(F.struct("path", "places"), "places").alias("p")).select("start", "node", "p.*")
-        wave = cut(first.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
+        wave = written(first.join(seen.select("start", "node"), ["start", "node"], "left_anti"), "paths")
         if wave.isEmpty():
             break
         seen = seen.unionByName(wave)

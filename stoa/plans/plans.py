@@ -53,10 +53,10 @@ def plan_parse_actions(spark, sf):
     return steps.select("plan_id", F.array_join(F.transform("s", lambda s: F.concat(s["action"], F.lit("="), F.coalesce(s["args"], F.lit("-")))), "|").alias("steps"))
 
 
-# places: a ring of nations but for the gap before every tenth, and short cuts from every fifth
+# places: a ring of nations with a gap before every tenth, short cuts from every fifth, and the last one on its own
 MAP = """pl AS (SELECT n_nationkey AS i, n_name AS node, CASE WHEN n_nationkey % 3 > 0 THEN 'O' ELSE 'S' END AS marker FROM nation),
-st AS (SELECT i, (i + 1) % 25 AS j, 0 AS place FROM pl WHERE i % 10 <> 9 UNION ALL SELECT i, (i + 24) % 25, 1 FROM pl WHERE i % 10 <> 0 UNION ALL SELECT i, (i + 7) % 25, 2 FROM pl WHERE i % 5 = 0 AND i < 10),
-ed AS (SELECT a.node AS src, b.node AS dst, place FROM st JOIN pl a ON a.i = st.i JOIN pl b ON b.i = st.j)"""
+st AS (SELECT i, (i + 1) % 25 AS j, 0 AS place FROM pl WHERE i % 10 <> 9 UNION ALL SELECT i, (i + 24) % 25, 1 FROM pl WHERE i % 10 <> 0 UNION ALL SELECT i, (i + 7) % 25, 2 FROM pl WHERE i % 5 = 0 UNION ALL SELECT i, (i + 4) % 25, 3 FROM pl WHERE i % 4 = 1),
+ed AS (SELECT a.node AS src, b.node AS dst, place FROM st JOIN pl a ON a.i = st.i JOIN pl b ON b.i = st.j WHERE st.i <> 24 AND st.j <> 24)"""
 
 
 def places(spark, sf):
@@ -67,8 +67,9 @@ def places(spark, sf):
 def ways(spark, sf):
     p = places(spark, sf)
     step = lambda d, place, keep: p.where(keep).select("i", ((F.col("i") + d) % 25).alias("j"), F.lit(place).alias("place"))
-    st = step(1, 0, "i % 10 <> 9").unionByName(step(24, 1, "i % 10 <> 0")).unionByName(step(7, 2, "i % 5 = 0 and i < 10"))
+    st = step(1, 0, "i % 10 <> 9").unionByName(step(24, 1, "i % 10 <> 0")).unionByName(step(7, 2, "i % 5 = 0")).unionByName(step(4, 3, "i % 4 = 1"))
     name = lambda key, alias: p.select(F.col("i").alias(key), F.col("node").alias(alias))
+    st = st.where("i <> 24 and j <> 24")
     return st.join(name("i", "src"), "i").join(name("j", "dst"), "j").select("src", "dst", "place")
 
 
