@@ -56,6 +56,7 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, through: DataFrame | Non
     with the smaller places wins. If ``through`` (``node``) is given, only its nodes and starts are passed through;
     others can be ends. ``path`` leaves the start out. Each wave meets only nodes that its start hasn't seen.
     """
+    edges = written(edges.select("src", "dst", "place"), "edges")
     seen = written(starts.select("start", F.col("start").alias("node"), F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("places")).distinct(), "paths")
     wave = seen
     for _ in range(most):
