@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stoa.functions import text as fn
+from stoa.operators import sampling
 from stoa.plans.registry import query
 from stoa.session import table
 
@@ -68,10 +69,9 @@ def last_turn_asks(spark, sf):
 
 @query("WITH d AS (SELECT DISTINCT text FROM documents) SELECT doc_id, dense_rank() OVER (ORDER BY md5(text)) - 1 AS inverse FROM documents")
 def distinct_captions(spark, sf):
-    """Each text's place among the distinct ones by hash: ranks are given to the distinct hashes alone."""
-    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("h"))
-    ranks = d.select("h").distinct().withColumn("inverse", F.row_number().over(Window.orderBy("h")).cast("long") - 1)
-    return d.join(ranks, "h").select("doc_id", "inverse")
+    """Each text's place among the distinct ones by hash; null is a text too, the last one."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce(F.md5("text"), F.lit("~")).alias("h"))
+    return d.join(sampling.dense_ranks(d, "h", "inverse"), "h").select("doc_id", "inverse")
 
 
 @query(r"SELECT p_partkey, trim(regexp_replace(lower(p_name), '[_\s]+', ' ', 'g')) AS key, regexp_replace(regexp_replace(trim(p_type), '\s+', '_', 'g'), '[^\p{L}\p{N}_-]', '', 'g') AS safe FROM part")
