@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stoa.session import written
+
 
 def intersections(masks: DataFrame, truth: DataFrame) -> DataFrame:
     """``(scene, mask_id, instance, class, points, both, size)`` of masks and instances of one class that share points.
@@ -91,3 +93,22 @@ def average_precision(found: DataFrame, keys: list[str]) -> DataFrame:
     c = c.withColumn("env", F.max(F.col("tp") / F.col("n")).over(ahead))
     area = c.where("hit = 1").groupBy(*keys).agg(F.sum("env").alias("area"))
     return lost.where("hits + lost > 0").join(area, keys, "left").select(*keys, (F.coalesce("area", F.lit(0.0)) / (F.col("hits") + F.col("lost"))).alias("ap"))
+
+
+def ranked_precision(rows: DataFrame, score: str, key: str, hit: str) -> DataFrame:
+    """``(hit, tp, n, envelope)`` of rows by descending score, ties by key: hits and rows so far, and the best precision from there on.
+
+    Rows are dealt by ranges of the order; what a range needs of the others is one row each.
+    """
+    order = [F.desc(score), F.col(key)]
+    dealt = written(rows.select(score, key, hit).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranking")
+    ranges = Window.orderBy("_range")  # a row a range
+    before = lambda c: F.coalesce(F.sum(c).over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.sum(hit).alias("_h")).select("_range", before("_n").alias("_n"), before("_h").alias("_h"))
+    own = Window.partitionBy("_range").orderBy(*order)
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.join(F.broadcast(sums), "_range").withColumns({"tp": F.col("_h") + F.sum(hit).over(so_far), "n": F.col("_n") + F.row_number().over(own)})
+    placed = placed.withColumn("p", F.col("tp") / F.col("n"))
+    tops = placed.groupBy("_range").agg(F.max("p").alias("p")).select("_range", F.max("p").over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    local = F.max("p").over(own.rowsBetween(0, Window.unboundedFollowing))
+    return placed.join(F.broadcast(tops), "_range").select(hit, "tp", "n", F.greatest(local, "_later").alias("envelope"))

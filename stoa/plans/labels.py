@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stoa.operators import votes
+from stoa.operators import masks, votes
 from stoa.plans.registry import query
 from stoa.session import table
 
@@ -142,10 +142,9 @@ SELECT round(sum(CASE WHEN toxic = 1 THEN envelope/pos ELSE 0 END), 6) AS ap FRO
 def average_precision(spark, sf):
     """Area under the precision envelope of a ranking: labelled rows only, in one order of score."""
     s = table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("score")).join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
-    order = Window.orderBy(F.desc("score"), "doc_id")
-    c = s.select("toxic", F.sum("toxic").over(order).alias("tp"), F.row_number().over(order).alias("n"), F.sum("toxic").over(Window.partitionBy()).alias("pos"))
-    e = c.withColumn("envelope", F.max(F.col("tp") / F.col("n")).over(Window.orderBy("n").rowsBetween(0, Window.unboundedFollowing)))
-    return e.agg(F.round(F.sum(F.when(F.col("toxic") == 1, F.col("envelope") / F.col("pos")).otherwise(0.0)), 6).alias("ap"))
+    e = masks.ranked_precision(s, "score", "doc_id", "toxic")
+    pos = F.sum("toxic")
+    return e.agg(F.round(F.sum(F.when(F.col("toxic") == 1, F.col("envelope")).otherwise(0.0)) / pos, 6).alias("ap"))
 
 
 @query("SELECT l_linenumber AS caption_id, round(sum(l_quantity*l_tax)/sum(l_quantity),6) AS loss FROM lineitem GROUP BY 1")
