@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stoa.operators import grids, points
+from stoa.operators.quantiles import quantiles
 from stoa.plans.registry import query
 from stoa.session import table
 
@@ -82,11 +83,12 @@ def instance_stats(spark, sf):
 @query(f"""WITH {CLOUD} SELECT label, CASE WHEN count(*) > 20 THEN round(quantile_cont(x, 0.02),6) ELSE round(min(x),6) END x0,
  CASE WHEN count(*) > 20 THEN round(quantile_cont(x, 0.98),6) ELSE round(max(x),6) END x1 FROM cloud GROUP BY label""")
 def robust_bbox(spark, sf):
-    """2nd and 98th percentiles for over 20 points, else the extremes."""
-    p, many = F.percentile("x", F.array(F.lit(0.02), F.lit(0.98))), F.count(F.lit(1)) > 20
-    return cloud(spark, sf).groupBy("label").agg(
-        F.round(F.when(many, p[0]).otherwise(F.min("x")), 6).alias("x0"), F.round(F.when(many, p[1]).otherwise(F.max("x")), 6).alias("x1")
-    )
+    """2nd and 98th percentiles for over 20 points, else the extremes; percentiles by narrowing histograms."""
+    c = cloud(spark, sf).select("label", "x")
+    q = quantiles(c, ["label"], "x", [0.02, 0.98]).groupBy("label").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    n = c.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+    many = F.col("n") > 20
+    return n.join(q, "label").select("label", F.round(F.when(many, F.col("low")).otherwise(F.col("least")), 6).alias("x0"), F.round(F.when(many, F.col("high")).otherwise(F.col("most")), 6).alias("x1"))
 
 
 @query(f"WITH {PARTS} SELECT point_id FROM pts WHERE x BETWEEN 10 AND 30 AND y BETWEEN 1000 AND 1400")
@@ -149,7 +151,7 @@ def crop_and_clip(spark, sf):
 def height_band(spark, sf):
     """The floor is the cloud's 2nd percentile of z; the band above it is closed."""
     c = cloud(spark, sf)
-    floor = c.agg(F.percentile("z", F.lit(0.02)).alias("f"))
+    floor = quantiles(c.select(F.lit(0).alias("all"), "z"), ["all"], "z", [0.02]).select(F.col("v").alias("f"))  # one row
     return c.join(F.broadcast(floor)).where(F.col("z").between(F.col("f") + 0.05, F.col("f") + 0.3)).select("point_id")
 
 
