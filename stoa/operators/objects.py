@@ -39,8 +39,9 @@ QUALITY = {
 QUALITY["water dispensor"] = QUALITY["water dispenser"]
 SCORES = [("score", "<", 0.020, 2, "very low mean_score"), ("score", "<", 0.025, 1, "low mean_score")]
 _SHOWN = {"height": ": height %.2fm", "wide": ": width %.2fm", "deep": ": depth %.2fm", "area": ": %.2fm2", "score": " %.3f"}
-# fixed values: substrings of labels that are fixtures, whatever stands on them
-FIXTURES = ("table", "desk", "counter", "shelf", "cabinet")
+# fixed values: substrings of labels that are assets, whatever stands on them; and the labels of the readable tree's assets
+FIXTURES = ("table", "desk", "bed", "chair", "couch", "sofa", "bench", "shelf", "bookshelf", "cabinet", "wardrobe", "drawer", "tv stand", "shoe rack", "rug", "workstation", "workbench")
+READABLE = ("cabinet", "chair", "couch", "desk", "shelf", "sofa", "table", "workbench", "workstation")
 
 
 def metrics() -> dict[str, Column]:
@@ -124,7 +125,7 @@ def spatial_edges(boxes: DataFrame, key: str, overlap: float = 0.3, near: float
 
 
 def hierarchy(items: DataFrame, edges: DataFrame, key: str, label: str = "label") -> DataFrame:
-    """``items`` with ``role``: ``asset`` if something is on it or its label names a fixture, else ``object``."""
+    """``items`` with ``role``: ``asset`` if something is on it or its label names one, else ``object``."""
     under = edges.where("relation = 'on'").select(F.col("dst").alias("_under")).distinct()
     fixture = F.lit(False)
     for word in FIXTURES:

@@ -99,6 +99,12 @@ def readable_children(spark, sf):
     return direct.unionByName(on.select(F.concat(F.lit("o"), F.col("dst").cast("string")).alias("parent"), F.col("src").alias("child")))
 
 
+@query(f"WITH {ITEMS} SELECT id, key IN {objects.READABLE} AS asset FROM ms")
+def readable_assets(spark, sf):
+    """Whether the readable tree takes a label for an asset."""
+    return items(spark, sf).select("id", words.label_key(F.col("label")).isin(*objects.READABLE).alias("asset"))
+
+
 KNOWN = "kr AS (SELECT 'room_' || r_regionkey AS room FROM region)"
 
 
