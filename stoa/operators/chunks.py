@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoa.operators.quantiles import quantiles
-from stoa.session import cut, free_name
+from stoa.operators.quantiles import order_statistics, quantiles
+from stoa.session import free_name, written
 
 BOX = ("x0", "x1", "y0", "y1")
 
@@ -19,10 +21,13 @@ def _in(box: str = "") -> Column:
 def in_boxes(points: DataFrame, boxes: DataFrame, margin: float = 0.0) -> DataFrame:
     """Each point with each box that holds it, edges included, once the box is widened by ``margin`` all around.
 
-    Both go to square cells (a point to one, a box to those it covers), sized by the usual box, and meet there.
+    Both go to square cells (a point to one, a box to those it covers), and meet there. A cell is as wide as the usual box,
+    or a part of that where boxes are few, so that the points of a large box aren't all of one cell.
     """
     side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 2 * margin
-    width = max(1e-9, float(boxes.agg(F.percentile_approx(side, 0.5).alias("w")).first()["w"] or 1.0))
+    usual = boxes.agg(F.percentile_approx(side, 0.5).alias("w"), F.count(F.lit(1)).alias("n")).first()
+    cuts = min(64, max(1, int((100_000 / max(1, usual["n"])) ** 0.5)))
+    width = max(1e-9, float(usual["w"] or 1.0) / cuts)
     cell = lambda v: F.floor(v / width)
     gx, gy = free_name(points, "_gx"), free_name(points, "_gy")
     lo, hi = (lambda a: F.col(f"{a}0") - margin), (lambda a: F.col(f"{a}1") + margin)
@@ -37,38 +42,78 @@ def box_counts(points: DataFrame, boxes: DataFrame, key: str, margin: float = 0.
     return boxes.select(key).join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def split_boxes(points: DataFrame, areas: DataFrame, halo: float, most: int, least_side: float, deepest: int = 60) -> DataFrame:
-    """``(box, x0, x1, y0, y1)``: areas split at the median of their points along the longer side.
+def _halves(box: tuple[str, float, float, float, float], middle: float) -> list[tuple[str, float, float, float, float]]:
+    """A box's two parts at the middle of its points along its longer side, or at its own where that is at an edge."""
+    name, x0, x1, y0, y1 = box
+    wide = x1 - x0 >= y1 - y0
+    lo, hi = (x0, x1) if wide else (y0, y1)
+    at = (lo + hi) * 0.5 if middle <= lo + 1e-4 or middle >= hi - 1e-4 else middle
+    if wide:
+        return [(name + "0", x0, at, y0, y1), (name + "1", at, x1, y0, y1)]
+    return [(name + "0", x0, x1, y0, at), (name + "1", x0, x1, at, y1)]
+
+
+def _split_here(points: np.ndarray, box: tuple, halo: float, most: int, least_side: float) -> list[tuple]:
+    """All kept boxes below one box; ``points`` (``x, y`` rows) are those of its halo."""
+    out, todo = [], [(box, points)]
+    while todo:
+        box, at = todo.pop()
+        _, x0, x1, y0, y1 = box
+        own = at[(at[:, 0] >= x0) & (at[:, 0] <= x1) & (at[:, 1] >= y0) & (at[:, 1] <= y1)]
+        if not len(own):
+            continue
+        if len(at) <= most or max(x1 - x0, y1 - y0) <= least_side:
+            out.append(box)
+            continue
+        for half in _halves(box, float(np.quantile(own[:, 0 if x1 - x0 >= y1 - y0 else 1], 0.5))):
+            _, a0, a1, b0, b1 = half
+            todo.append((half, at[(at[:, 0] >= a0 - halo) & (at[:, 0] <= a1 + halo) & (at[:, 1] >= b0 - halo) & (at[:, 1] <= b1 + halo)]))
+    return out
+
+
+def split_boxes(points: DataFrame, areas: DataFrame, halo: float, most: int, least_side: float, gathered: int = 500_000) -> DataFrame:
+    """``(box, x0, x1, y0, y1)``: areas split at the median of their points along the longer side, until none is to be split.
 
     A box is kept if it holds at most ``most`` points with its halo, or is at most ``least_side`` long; boxes
-    without a point of their own go. ``areas``: ``box`` (string), ``x0 .. y1``; children add ``0`` or ``1`` to the
-    name. All boxes of a level are counted and split together; medians are exact.
+    without a point of their own go. ``areas``: ``box`` (string), ``x0 .. y1``; children add ``0`` or ``1`` to the name.
+
+    A child's halo lies within its parent's, so points stay with the boxes whose halo holds them and are narrowed level by
+    level: points aren't searched anew. Boxes of more than ``gathered`` points are split together, a level at a time, at exact
+    medians by narrowing histograms; as soon as a box has fewer, one task splits it to the end.
     """
-    points = points.select("x", "y")
-    open_, kept = cut(areas.select("box", *BOX)), None
-    for _ in range(deepest):
-        own = in_boxes(points, open_)
-        filled = cut(open_.join(own.select("box").distinct(), "box", "left_semi").join(box_counts(points, open_, "box", halo), "box"))
-        wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-        small = (F.col("n") <= most) | (F.greatest(wide, high) <= least_side)
-        done = filled.where(small).select("box", *BOX)
+    schema = "box string, x0 double, x1 double, y0 double, y1 double"
+    wide = F.col("x1") - F.col("x0") >= F.col("y1") - F.col("y0")
+
+    def finished(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame.iloc[0]
+        box = (first["box"], *(float(first[c]) for c in BOX))
+        return pd.DataFrame(_split_here(frame[["x", "y"]].to_numpy(float), box, halo, most, least_side), columns=["box", *BOX])
+
+    members = written(in_boxes(points.select("x", "y"), areas.select("box", *BOX), halo), "members")
+    kept = None
+    while True:
+        filled = written(members.groupBy("box", *BOX).agg(F.count(F.lit(1)).alias("n"), F.count_if(_in()).alias("m")), "boxes")
+        large = filled.where((F.col("n") > gathered) & (F.col("m") > 0))
+        left = large.count()
+        open_ = members if not left else members.join(filled.where(F.col("n") <= gathered).select("box"), "box", "left_semi")
+        done = open_.groupBy("box").applyInPandas(finished, schema)
         kept = done if kept is None else kept.unionByName(done)
-        large = filled.where(~small)
-        if large.isEmpty():
-            break
-        along = F.when(wide >= high, F.lit("x")).otherwise(F.lit("y"))
-        values = own.join(large.select("box"), "box", "left_semi").select("box", F.when(wide >= high, F.col("x")).otherwise(F.col("y")).alias("v"))
-        mid = large.join(quantiles(values, ["box"], "v", [0.5]).select("box", F.col("v").alias("mid")), "box").withColumn("along", along)
-        lo, hi = F.when(F.col("along") == "x", F.col("x0")).otherwise(F.col("y0")), F.when(F.col("along") == "x", F.col("x1")).otherwise(F.col("y1"))
+        if not left:
+            return kept
+        narrow = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) <= least_side
+        kept = kept.unionByName(large.where(narrow).select("box", *BOX))
+        large = large.where(~narrow).select("box")
+        asked = members.where(_in()).join(large, "box", "left_semi").select("box", F.when(wide, F.col("x")).otherwise(F.col("y")).alias("v"))
+        mid = quantiles(asked, ["box"], "v", [0.5]).select("box", F.col("v").alias("mid"))
+        mid = F.broadcast(mid) if left <= 100_000 else mid
+        lo, hi = F.when(wide, F.col("x0")).otherwise(F.col("y0")), F.when(wide, F.col("x1")).otherwise(F.col("y1"))
         at = F.when((F.col("mid") <= lo + 1e-4) | (F.col("mid") >= hi - 1e-4), (lo + hi) * 0.5).otherwise(F.col("mid"))
-        mid = mid.withColumn("at", at)
-        x = F.col("along") == "x"
         half = lambda k: F.struct(
-            F.concat("box", F.lit(str(k))).alias("box"), F.when(x & F.lit(k == 1), F.col("at")).otherwise(F.col("x0")).alias("x0"), F.when(x & F.lit(k == 0), F.col("at")).otherwise(F.col("x1")).alias("x1"),
-            F.when(~x & F.lit(k == 1), F.col("at")).otherwise(F.col("y0")).alias("y0"), F.when(~x & F.lit(k == 0), F.col("at")).otherwise(F.col("y1")).alias("y1"),
+            F.concat("box", F.lit(str(k))).alias("box"), F.when(wide & F.lit(k == 1), at).otherwise(F.col("x0")).alias("x0"), F.when(wide & F.lit(k == 0), at).otherwise(F.col("x1")).alias("x1"),
+            F.when(~wide & F.lit(k == 1), at).otherwise(F.col("y0")).alias("y0"), F.when(~wide & F.lit(k == 0), at).otherwise(F.col("y1")).alias("y1"),
         )
-        open_ = cut(mid.select(F.explode(F.array(half(0), half(1))).alias("h")).select("h.*"))
-    return kept
+        met = members.join(mid, "box").select("x", "y", F.explode(F.array(half(0), half(1))).alias("h")).select("x", "y", "h.*")
+        members = written(met.where(F.col("x").between(F.col("x0") - halo, F.col("x1") + halo) & F.col("y").between(F.col("y0") - halo, F.col("y1") + halo)), "members")
 
 
 def _counted(spark: SparkSession, points: DataFrame, boxes: list[tuple], margin: float) -> list[int]:
@@ -83,11 +128,11 @@ def merged_boxes(points: DataFrame, boxes: list[tuple], halo: float, least: int,
     """Boxes of one room, those of under ``least`` points joined to others while the union holds at most ``most``.
 
     Each turn takes the best pair: unions that reach ``least`` first, then the smaller gap, then the size nearest to
-    the middle of both bounds, then more points. Turns are at most twice the boxes, and 100.
+    the middle of both bounds, then more points. Each turn leaves one box less, so there are fewer turns than boxes.
     """
     boxes, spark = list(boxes), points.sparkSession
     union = lambda a, b: (min(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3]))
-    for _ in range(max(1, min(100, 2 * len(boxes)))):
+    while True:
         sizes = _counted(spark, points, boxes, halo)
         pairs = [(i, j) for i, n in enumerate(sizes) if n < least for j in range(len(boxes)) if i != j]
         unions = [union(boxes[i], boxes[j]) for i, j in pairs]
@@ -101,43 +146,59 @@ def merged_boxes(points: DataFrame, boxes: list[tuple], halo: float, least: int,
             if best is None or score < best[0]:
                 best = (score, i, j, u)
         if best is None:
-            break
+            return boxes
         boxes = [b for k, b in enumerate(boxes) if k not in best[1:3]] + [best[3]]
-    return boxes
+
+
+def entry_margin(box: tuple, bounds: tuple) -> Column:
+    """The margin by which the box must be widened, within ``bounds``, to hold a point; null for points out of bounds."""
+    x, y = F.col("x"), F.col("y")
+    far = F.greatest(F.lit(0.0), box[0] - x, x - box[1], box[2] - y, y - box[3])
+    return F.when((far == 0) | (x.between(bounds[0], bounds[1]) & y.between(bounds[2], bounds[3])), far)
 
 
 def grown_box(points: DataFrame, box: tuple, least: int, most: int, bounds: tuple, spare: int = 512, halvings: int = 28) -> tuple:
     """The box widened within ``bounds`` until it holds ``least + spare`` points and at most ``most``.
 
     Margins double from a quarter on, then halve between the last that was too small and the first that was not;
-    if none fits, the one with the most points below ``most`` counts.
+    if none fits, the one with the most points below ``most`` counts. A point enters at one margin, so a margin's count is the
+    number of smaller entry margins: the one at which enough are in is an order statistic, which settles every halving,
+    and one more pass counts at all margins that were tried.
     """
-    spark, wanted = points.sparkSession, least + spare
+    wanted = least + spare
     wide = lambda m: (max(bounds[0], box[0] - m), min(bounds[1], box[1] + m), max(bounds[2], box[2] - m), min(bounds[3], box[3] + m))
     limit = max(bounds[1] - bounds[0], bounds[3] - bounds[2])
-    margins = [0.25 * 2**k for k in range(64) if 0.25 * 2**k < limit]
-    sizes = _counted(spark, points, [box, *map(wide, margins), wide(limit)], 0.0)
-    if least <= 0 or sizes[0] >= wanted:
+    entries = points.select(entry_margin(box, bounds).alias("m"), F.lit(0).alias("one")).where("m is not null")
+    inside, total = entries.agg(F.count_if(F.col("m") == 0), F.count(F.lit(1))).first()
+    if least <= 0 or inside >= wanted:
         return box
-    best, low, high = (box, sizes[0]), 0.0, None
-    for m, n in zip(margins, sizes[1:], strict=False):
-        if n >= wanted:
+    steps = [0.25 * 2**k for k in range(64) if 0.25 * 2**k < limit]
+    enough = float("inf")
+    if total >= wanted:
+        rank = points.sparkSession.createDataFrame([(0, wanted - 1)], "one int, rank long")
+        enough = order_statistics(entries, ["one"], "m", rank).first()["v"]
+    low, high, tried = 0.0, None, []
+    for m in steps:
+        tried.append(m)
+        if m >= enough:
             high = m
             break
-        if best[1] < n <= most:
-            best = (wide(m), n)
         low = m
+    if high is not None:
+        for _ in range(halvings):
+            m = (low + high) / 2
+            tried.append(m)
+            low, high = (low, m) if m >= enough else (m, high)
+    counts = dict(zip(tried, entries.agg(*[F.count_if(F.col("m") <= m) for m in tried]).first(), strict=True)) if tried else {}
+    best = (box, inside)
+    for m in [m for m in tried if m < enough]:
+        if best[1] < counts[m] <= most:
+            best = (wide(m), counts[m])
     if high is None:
-        return wide(limit) if wanted <= sizes[-1] <= most else best[0]
-    for _ in range(halvings):
-        m = (low + high) / 2
-        n = _counted(spark, points, [wide(m)], 0.0)[0]
-        if n < wanted:
-            low = m
-            if best[1] < n <= most:
-                best = (wide(m), n)
-        else:
-            high = m
-            if n <= most:
-                best = (wide(m), n)
+        return wide(limit) if wanted <= total <= most else best[0]
+    for m in tried[tried.index(next(m for m in tried if m >= enough)) + 1 :]:
+        if m >= enough and counts[m] <= most:
+            best = (wide(m), counts[m])
+        elif m < enough and best[1] < counts[m] <= most:
+            best = (wide(m), counts[m])
     return best[0]

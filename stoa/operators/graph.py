@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stoa.session import cut, written
 
 
-def tree(edges: DataFrame, root: str, deepest: int = 100) -> DataFrame:
+def tree(edges: DataFrame, root: str) -> DataFrame:
     """``(node, path, depth)`` below a root, one join a level; a node never recurs within its own path."""
     level = edges.sparkSession.createDataFrame([(root, [root], 0)], "node string, trail array<string>, depth int")
     found = level
-    for depth in range(1, deepest + 1):
+    for depth in count(1):
         step = edges.join(level, edges["src"] == level["node"]).where(~F.expr("array_contains(trail, dst)"))
         level = cut(step.select(F.col("dst").alias("node"), F.concat("trail", F.array("dst")).alias("trail"), F.lit(depth).alias("depth")))
         if level.isEmpty():
@@ -29,11 +31,11 @@ def with_inverse(edges: DataFrame, inverse: dict[str, str]) -> DataFrame:
     return ahead.unionByName(back.where("relation is not null"))
 
 
-def distances(edges: DataFrame, start: int, most: int = 1000) -> DataFrame:
+def distances(edges: DataFrame, start: int) -> DataFrame:
     """``(node, hops)`` of all nodes within reach: each wave meets only nodes not yet seen."""
-    seen = cut(edges.sparkSession.createDataFrame([(start, 0)], "node int, hops int"))
+    seen = cut(edges.sparkSession.createDataFrame([(start, 0)], f"node {edges.schema['src'].dataType.simpleString()}, hops int"))
     wave = seen
-    for hops in range(1, most + 1):
+    for hops in count(1):
         ahead = edges.join(wave.select("node"), edges["src"] == wave["node"]).select(F.col("dst").alias("node")).distinct()
         wave = cut(ahead.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hops)))
         if wave.isEmpty():
@@ -49,25 +51,39 @@ def broken_steps(steps: DataFrame, edges: DataFrame) -> DataFrame:
     return moves.join(edges, (edges["src"] == moves["before"]) & (edges["dst"] == moves["node"]), "left_anti")
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, through: DataFrame | None = None, most: int = 1000) -> DataFrame:
+def _searched(edges: DataFrame, begun: DataFrame, through: DataFrame | None) -> DataFrame:
+    """``(start, bound, node, path)`` by waves from ``begun`` (``start, bound``), each of which meets only nodes that its start hasn't seen."""
+    edges = written(edges.select("src", "dst", "place"), "edges")
+    begun = begun.select("start", "bound", F.col("start").alias("node"), F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("places"))
+    seen = wave = written(begun.distinct(), "paths")
+    while True:
+        ahead = wave.join(edges, wave["node"] == edges["src"]).select("start", "bound", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("places", F.array(F.col("place").cast("int"))).alias("places"))
+        first = ahead.groupBy("start", "bound", "node").agg(F.min_by(F.struct("path", "places"), "places").alias("p")).select("start", "bound", "node", "p.*")
+        wave = written(first.join(seen.select("start", "bound", "node"), ["start", "bound", "node"], "left_anti"), "paths")
+        if wave.isEmpty():
+            return seen.select("start", "bound", "node", "path")
+        seen = seen.unionByName(wave)
+        if through is not None:
+            marked = through.select(F.col("node").alias("_marked")).distinct()
+            wave = wave.join(marked, F.col("node") == F.col("_marked"), "left").where(~F.col("bound") | F.col("_marked").isNotNull()).drop("_marked")
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, through: DataFrame | None = None) -> DataFrame:
     """``(start, node, path)``: from each start, the first shortest path to each other node within reach.
 
     ``edges``: ``src, dst, place``, the last being the neighbour's place in its list; of paths equally long, the one
     with the smaller places wins. If ``through`` (``node``) is given, only its nodes and starts are passed through;
-    others can be ends. ``path`` leaves the start out. Each wave meets only nodes that its start hasn't seen.
+    others can be ends. ``path`` leaves the start out.
     """
-    edges = written(edges.select("src", "dst", "place"), "edges")
-    seen = written(starts.select("start", F.col("start").alias("node"), F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("places")).distinct(), "paths")
-    wave = seen
-    for _ in range(most):
-        ahead = wave.join(edges, wave["node"] == edges["src"]).select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("places", F.array(F.col("place").cast("int"))).alias("places"))
-        first = ahead.groupBy("start", "node").agg(F.min_by(F.struct("path", "places"), "places").alias("p")).select("start", "node", "p.*")
-        wave = written(first.join(seen.select("start", "node"), ["start", "node"], "left_anti"), "paths")
-        if wave.isEmpty():
-            break
-        seen = seen.unionByName(wave)
-        wave = wave if through is None else wave.join(through, "node", "left_semi").select(*wave.columns)
-    return seen.select("start", "node", "path")
+    return _searched(edges, starts.select("start", F.lit(through is not None).alias("bound")), through).drop("bound")
+
+
+def both_paths(edges: DataFrame, starts: DataFrame, through: DataFrame) -> DataFrame:
+    """``(start, node, path, bound_path)``: the shortest paths through any nodes, and those through ``through`` only (null if none), by one search."""
+    begun = starts.select("start", F.explode(F.array(F.lit(False), F.lit(True))).alias("bound"))
+    found = written(_searched(edges, begun, through), "both-paths")
+    side = lambda bound, name: found.where(F.col("bound") == bound).select("start", "node", F.col("path").alias(name))
+    return side(False, "path").join(side(True, "bound_path"), ["start", "node"], "left")
 
 
 def validated_plans(plans: DataFrame, nodes: DataFrame, edges: DataFrame, objects: DataFrame) -> DataFrame:
@@ -87,9 +103,8 @@ def validated_plans(plans: DataFrame, nodes: DataFrame, edges: DataFrame, object
     legs = legs.withColumn("origin", F.when(F.col("leg") == 0, F.col("at")).otherwise(before))
     starts = legs.where("origin is not null").select(F.col("origin").alias("start")).distinct()
     marked = nodes.where("marker = 'O'").select("node")
-    wide, narrow = shortest_paths(edges, starts), shortest_paths(edges, starts, marked)
-    to = lambda paths, name: paths.select(F.col("start").alias("origin"), F.col("node").alias("name"), F.col("path").alias(name))
-    legs = legs.join(to(narrow, "short"), ["origin", "name"], "left").join(to(wide, "any"), ["origin", "name"], "left")
+    paths = both_paths(edges, starts, marked).select(F.col("start").alias("origin"), F.col("node").alias("name"), F.col("path").alias("any"), F.col("bound_path").alias("short"))
+    legs = legs.join(paths, ["origin", "name"], "left")
     fault = F.when(F.col("name").isNull(), F.concat(F.lit("Node does not exist: "), "stop")).when(F.col("any").isNull(), F.concat(F.lit("No path found for segment "), (F.col("leg") + 1).cast("string")))
     legs = legs.select("plan_id", F.struct("leg", "name", fault.alias("fault"), F.coalesce("short", "any").alias("path"), F.when(F.col("short").isNotNull(), "o_only").otherwise("fallback").alias("kind")).alias("s"))
     walked = legs.groupBy("plan_id").agg(F.array_sort(F.collect_list("s")).alias("s"))  # one plan's legs

@@ -86,21 +86,23 @@ def quality(key: Column, score: Column) -> Column:
     return F.struct(status.alias("status"), F.transform(flags, lambda f: f["said"]).alias("reasons"))
 
 
-def spatial_edges(boxes: DataFrame, key: str, overlap: float = 0.3, near: float = 2.5, gap: float = 0.15, next_cap: int = 3, above_cap: int = 8) -> DataFrame:
+def spatial_edges(boxes: DataFrame, key: str, overlap: float = 0.3, near: float = 2.5, gap: float = 0.15, next_cap: int = 3, above_cap: int = 8, wanted: tuple[str, ...] = ()) -> DataFrame:
     """``(src, dst, relation)`` of object boxes, one relation a pair: inside, else on, else above, else next-to.
 
     ``boxes`` hold ``key``, the box ``x0 .. z1`` and a centroid ``cx, cy, cz`` within it. Each source keeps its
-    ``above_cap`` and ``next_cap`` nearest, which is those relations' definition; ties go by the pair's keys.
+    ``above_cap`` and ``next_cap`` nearest, which is those relations' definition; ties go by the pair's keys. ``wanted``
+    names the relations to give, all by default; inside and on need touching boxes only, and no ranks.
     """
-    p = relations.box_pairs(boxes, key, near)
+    tight = bool(wanted) and set(wanted) <= {"inside", "on"}
     c = F.col
     tiny = F.lit(1e-9)
-    side = lambda s, a: c(f"{s}_{a}1") - c(f"{s}_{a}0")
+    size = {a: c(f"{a}1") - c(f"{a}0") for a in "xyz"}
+    own = {"vol": size["x"] * size["y"] * size["z"], "area": size["x"] * size["y"], "span": size["z"]}  # of a box, not of each of its pairs
+    held = boxes.select(key, *[f"{a}{k}" for a in "xyz" for k in "01"], "cx", "cy", "cz", *[F.greatest(tiny, v).alias(k) for k, v in own.items()])
+    p = relations.box_pairs(held, key, 0.0 if tight else near)
     share = lambda a: F.greatest(F.least(c(f"a_{a}1"), c(f"b_{a}1")) - F.greatest(c(f"a_{a}0"), c(f"b_{a}0")), F.lit(0.0))
-    for s in "ab":
-        p = p.withColumns({f"{s}_vol": F.greatest(tiny, side(s, "x") * side(s, "y") * side(s, "z")), f"{s}_area": F.greatest(tiny, side(s, "x") * side(s, "y")), f"{s}_span": F.greatest(tiny, side(s, "z"))})
-    p = p.withColumns({"inter": share("x") * share("y"), "zs": share("z")})
-    p = p.withColumns({"iou": c("inter") / (c("a_area") + c("b_area") - c("inter") + tiny), "flat": F.hypot(c("a_cx") - c("b_cx"), c("a_cy") - c("b_cy")), "up": c("a_cz") - c("b_cz")})
+    p = p.withColumns({"inter": share("x") * share("y"), "zs": share("z"), "flat": F.hypot(c("a_cx") - c("b_cx"), c("a_cy") - c("b_cy")), "up": c("a_cz") - c("b_cz")})
+    p = p.withColumn("iou", c("inter") / (c("a_area") + c("b_area") - c("inter") + tiny)).where((c("inter") > 0) | (c("flat") < near))  # no relation holds of other pairs
 
     def within(a: str, b: str) -> Column:
         return (c("inter") / (c(f"{a}_area") + tiny) > 0.8) & (c("zs") / c(f"{a}_span") > 0.8) & (c(f"{b}_vol") / c(f"{a}_vol") > 3.0)
@@ -118,7 +120,9 @@ def spatial_edges(boxes: DataFrame, key: str, overlap: float = 0.3, near: float
         .when((c("flat") < near) & (c("up") > 0.3), edge(a, b, "above", c("flat"))).when((c("flat") < near) & (c("up") < -0.3), edge(b, a, "above", c("flat")))
         .when(solid < near, edge(a, b, "next_to", solid))
     )
-    e = p.select(found.alias("e")).where("e is not null").select("e.*")
+    e = p.select(found.alias("e")).select("e.*").where(F.col("relation").isin(*wanted) if wanted else F.col("relation").isNotNull())
+    if tight:
+        return e.select("src", "dst", "relation")
     rank = F.row_number().over(Window.partitionBy("src", "relation").orderBy(F.round("far", 9), F.least("src", "dst"), F.greatest("src", "dst")))
     most = F.when(c("relation") == "above", above_cap).when(c("relation") == "next_to", next_cap)
     return e.withColumn("rank", rank).where(most.isNull() | (c("rank") <= most)).select("src", "dst", "relation")

@@ -83,7 +83,7 @@ def sample_hits(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("point_id")).join(placed, "point_id")
 
 
-MOST, HALO_M, SIDE, DEPTH = 150, 1.0, 2.0, 7
+MOST, HALO_M, SIDE, DEPTH = 150, 1.0, 2.0, 14
 
 
 def _split_sql() -> str:

@@ -12,14 +12,14 @@ from stoa.session import table
 
 LABELS = ["door", "Elevator", "water_dispenser", "whiteboard", "chair", "notice_board", "cup", "side table", "projector screen", "water dispensor"]
 ITEMS = f"""it AS (SELECT *, (x0+x1)/2 AS cx, (y0+y1)/2 AS cy, (z0+z1)/2 AS cz FROM (SELECT p_partkey AS id, {LABELS}[p_partkey % 10 + 1] AS label, p_partkey % 50 / 1000.0::DOUBLE AS score, p_partkey % 13 <> 0 AS active, p_size AS points, 'room_' || (p_partkey % 9) AS room,
- (p_partkey * 37 % 1000) / 20.0::DOUBLE AS x0, (p_partkey * 37 % 1000) / 20.0::DOUBLE + p_size / 10.0::DOUBLE AS x1, (p_partkey * 91 % 1000) / 20.0::DOUBLE AS y0, (p_partkey * 91 % 1000) / 20.0::DOUBLE + (p_partkey * 13 % 30) / 10.0::DOUBLE AS y1,
+ p_partkey // 2000 * 60 + (p_partkey * 37 % 1000) / 20.0::DOUBLE AS x0, p_partkey // 2000 * 60 + (p_partkey * 37 % 1000) / 20.0::DOUBLE + p_size / 10.0::DOUBLE AS x1, (p_partkey * 91 % 1000) / 20.0::DOUBLE AS y0, (p_partkey * 91 % 1000) / 20.0::DOUBLE + (p_partkey * 13 % 30) / 10.0::DOUBLE AS y1,
  (p_partkey % 4) / 2.0::DOUBLE AS z0, (p_partkey % 4) / 2.0::DOUBLE + (p_partkey * 7 % 50) / 10.0::DOUBLE AS z1 FROM part)),
 ms AS (SELECT *, trim(regexp_replace(replace(lower(label), '_', ' '), '\\s+', ' ', 'g')) AS key, round(z1-z0,9) AS height, round(greatest(x1-x0,y1-y0),9) AS wide, round(least(x1-x0,y1-y0),9) AS deep, round(greatest(x1-x0,1e-6)*greatest(y1-y0,1e-6),9) AS area FROM it)"""
 
 
 def items(spark, sf):
     k = F.col("p_partkey")
-    x0, y0, z0 = (k * 37 % 1000) / 20.0, (k * 91 % 1000) / 20.0, (k % 4) / 2.0
+    x0, y0, z0 = F.floor(k / 2000) * 60 + (k * 37 % 1000) / 20.0, (k * 91 % 1000) / 20.0, (k % 4) / 2.0
     t = table(spark, sf, "part").select(
         k.alias("id"), F.element_at(F.array(*[F.lit(v) for v in LABELS]), (k % 10 + 1).cast("int")).alias("label"), (k % 50 / 1000.0).alias("score"), (k % 13 != 0).alias("active"), F.col("p_size").alias("points"),
         F.concat(F.lit("room_"), (k % 9).cast("string")).alias("room"), x0.alias("x0"), (x0 + F.col("p_size") / 10.0).alias("x1"), y0.alias("y0"), (y0 + (k * 13 % 30) / 10.0).alias("y1"), z0.alias("z0"), (z0 + (k * 7 % 50) / 10.0).alias("z1"),
@@ -77,7 +77,7 @@ FIXTURE_SQL = " OR ".join(f"contains(lower(label), '{w}')" for w in objects.FIXT
 @query(f"WITH {ITEMS}, {PAIR} SELECT id, CASE WHEN {FIXTURE_SQL} OR id IN (SELECT dst FROM se WHERE relation = 'on') THEN 'asset' ELSE 'object' END AS role FROM it")
 def object_roles(spark, sf):
     i = items(spark, sf)
-    return objects.hierarchy(i, objects.spatial_edges(i, "id"), "id").select("id", "role")
+    return objects.hierarchy(i, objects.spatial_edges(i, "id", wanted=("on",)), "id").select("id", "role")
 
 
 @query(f"""WITH {ITEMS}, {PAIR}, rm AS (SELECT DISTINCT room FROM it) SELECT 'floor' AS src, room AS dst, 'contains' AS relation FROM rm UNION ALL SELECT room, 'o' || id, 'contains' FROM it UNION ALL SELECT 'o' || src, 'o' || dst, relation FROM se""")
@@ -94,7 +94,7 @@ def scene_graph_full(spark, sf):
 def readable_children(spark, sf):
     """Who holds whom in the readable tree: a room its objects that rest on nothing, an object those on it."""
     i = items(spark, sf)
-    on = objects.spatial_edges(i, "id").where("relation = 'on'")
+    on = objects.spatial_edges(i, "id", wanted=("on",))
     direct = i.join(on.select(F.col("src").alias("id")).distinct(), "id", "left_anti").select(F.col("room").alias("parent"), F.col("id").alias("child"))
     return direct.unionByName(on.select(F.concat(F.lit("o"), F.col("dst").cast("string")).alias("parent"), F.col("src").alias("child")))
 

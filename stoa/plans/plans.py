@@ -83,8 +83,8 @@ def shortest_hops(spark, sf):
     """From each place to each other within reach: hops, and hops through marked places only."""
     p, e = places(spark, sf), ways(spark, sf)
     starts = p.select(F.col("node").alias("start"))
-    wide, narrow = graph.shortest_paths(e, starts), graph.shortest_paths(e, starts, p.where("marker = 'O'").select("node"))
-    return wide.select("start", "node", F.size("path").alias("hops")).join(narrow.select("start", "node", F.size("path").alias("marked_hops")), ["start", "node"], "left")
+    found = graph.both_paths(e, starts, p.where("marker = 'O'").select("node"))
+    return found.select("start", "node", F.size("path").alias("hops"), F.when(F.col("bound_path").isNotNull(), F.size("bound_path")).alias("marked_hops"))
 
 
 @query(f"""WITH RECURSIVE {CALLS}, {REACH}, sn AS (SELECT pr.*, coalesce(lower(n_name), 'attic') AS said, n_name AS here FROM pr LEFT JOIN nation ON n_nationkey = plan_id % 27),
