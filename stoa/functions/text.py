@@ -71,10 +71,16 @@ def angle(rad: Column) -> Column:
     return F.pmod(rad + F.pi(), 2 * F.pi()) - F.pi()
 
 
-def natural_key(text: Column, width: int = 12) -> Column:
-    """A key whose plain order is the natural one: lower case, runs of digits padded to ``width``."""
+def _number_key(digits: Column) -> Column:
+    """Longer numbers come after shorter ones: how many digits there are without leading zeros, then the digits."""
+    plain = F.regexp_replace(digits, "^0+", "")
+    return F.concat(F.lpad(F.length(plain).cast("string"), 10, "0"), plain)
+
+
+def natural_key(text: Column) -> Column:
+    """A key whose plain order is the natural one: lower case, a run of digits by its value, whatever its length."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, width, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), _number_key(p)).otherwise(p)), "")
 
 
 def display_label(label: Column) -> Column:

@@ -29,6 +29,7 @@ class Guide:
     """
 
     points: DataFrame
+    count: int
     patches: DataFrame
     height: int
     width: int
@@ -61,12 +62,13 @@ def object_guide(points: DataFrame, field: DataFrame, height: int, width: int, r
 
 def _guide(points, field, height, width, resolution, origin, penalty, outside, least, least_share, unfit) -> Guide:
     laid = broadcast_if_small(written(patches(field), "patches"), 200_000)
-    return Guide(points.select("x", "y"), laid, height, width, resolution, origin, penalty, outside, least, least_share, unfit)
+    at = written(points.select("x", "y"), "guide")
+    return Guide(at, at.count(), laid, height, width, resolution, origin, penalty, outside, least, least_share, unfit)
 
 
 def _costs(guide: Guide, poses: list[Pose], gathered: int) -> dict[int, float]:
     """Each pose's cost by one guide. Poses of up to ``gathered`` points have their quantiles by values, else by narrowing histograms."""
-    n = guide.points.count()
+    n = guide.count
     required = max(guide.least, int(guide.least_share * n))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("pose"), F.lit(float(tx)).alias("tx"), F.lit(float(ty)).alias("ty"), F.lit(float(np.cos(yaw))).alias("c"), F.lit(float(np.sin(yaw))).alias("s")) for k, (tx, ty, yaw) in enumerate(poses)]))
     p = guide.points.select("x", "y", each.alias("p")).select("p.pose", (F.col("x") * F.col("p.c") - F.col("y") * F.col("p.s") + F.col("p.tx")).alias("x"), (F.col("x") * F.col("p.s") + F.col("y") * F.col("p.c") + F.col("p.ty")).alias("y"))
@@ -95,7 +97,7 @@ def pose_costs(walls: Guide, poses: list[Pose], objects: Guide | None = None, ob
     for points out of the map. A pose that the walls don't fit costs a million and the penalty. Poses are a small list; no points cost as no fit.
     """
     own = _costs(walls, poses, gathered)
-    if objects is not None and object_weight > 0 and not objects.points.isEmpty():
+    if objects is not None and object_weight > 0 and objects.count:
         more = _costs(objects, poses, gathered)
         own = {k: v if v == walls.unfit else v + object_weight * more[k] for k, v in own.items()}
     return [own[k] for k in range(len(poses))]

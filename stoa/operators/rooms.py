@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stoa.operators import grids
 from stoa.operators.components import connected_components
 from stoa.operators.holes import fill_holes
+from stoa.session import written
 
 
 def wall_persistence(points: DataFrame, z_min: float, z_max: float, slices: int, shape: tuple[int, int], least_points: int = 100, ratios: tuple[float, float] = (0.0005, 0.75)) -> DataFrame:
@@ -246,3 +247,59 @@ def simplified_column(polygon: Column, epsilon: float) -> Column:
             yield pd.Series([None if p is None else simplified([list(x) for x in p], epsilon) for p in batch])
 
     return run(polygon)
+
+
+def polygon_cells(rooms: DataFrame, key: str, polygon: str, origin: tuple[float, float], size: float, shape: tuple[int, int]) -> DataFrame:
+    """``(key, row, col)``: the cells of each room's polygon, its sides included, by scan lines.
+
+    Corners (``array<array<double>>`` of x and y) move to the nearest cell. A row's crossings with the sides, in order and paired,
+    bound its runs of cells; the cells of the sides themselves come by steps along their longer extent. Fewer than three
+    corners are no polygon. Work is by side and row: neither all cells nor all pairs are made.
+    """
+    at = lambda v, k: F.rint((v - origin[k]) / size)
+    ring = F.transform(polygon, lambda p: F.struct(at(p[0], 0).alias("x"), at(p[1], 1).alias("y")))
+    laid = rooms.where(F.size(polygon) >= 3).select(key, ring.alias("_ring"))
+    sides = F.transform("_ring", lambda p, i: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), F.get("_ring", (i + 1) % F.size("_ring"))["x"].alias("bx"), F.get("_ring", (i + 1) % F.size("_ring"))["y"].alias("by")))
+    side = laid.select(key, sides.alias("_sides")).select(key, F.explode("_sides").alias("s")).select(key, "s.*")
+    c, whole = F.col, lambda v: v.cast("long")
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    rows = side.where("ay <> by").select(key, "ax", "ay", "bx", "by", F.explode(F.sequence(whole(low), whole(high) - 1)).alias("row"))
+    crossing = rows.select(key, "row", (c("ax") + (c("row") - c("ay")) * (c("bx") - c("ax")) / (c("by") - c("ay"))).alias("x"))
+    ordered = crossing.groupBy(key, "row").agg(F.sort_array(F.collect_list(F.round("x", 9))).alias("_xs"))  # a polygon's sides at most
+    pairs = F.transform(F.sequence(F.lit(0), F.size("_xs") - 2, F.lit(2)), lambda i: F.struct(F.ceil(F.get("_xs", i)).alias("a"), F.floor(F.get("_xs", i + 1)).alias("b")))
+    runs = ordered.select(key, "row", pairs.alias("_runs")).select(key, "row", F.explode("_runs").alias("r")).where("r.a <= r.b").select(key, "row", F.explode(F.sequence("r.a", "r.b")).alias("col"))
+    steps = F.greatest(F.abs(c("bx") - c("ax")), F.abs(c("by") - c("ay")))
+    along = side.select(key, "ax", "ay", "bx", "by", steps.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), whole(steps))).alias("k"))
+    t = c("k") / F.greatest(c("n"), F.lit(1.0))
+    edge = along.select(key, whole(F.floor(F.round(c("ay") + (c("by") - c("ay")) * t, 9) + 0.5)).alias("row"), whole(F.floor(F.round(c("ax") + (c("bx") - c("ax")) * t, 9) + 0.5)).alias("col"))
+    return runs.unionByName(edge).where(c("row").between(0, shape[0] - 1) & c("col").between(0, shape[1] - 1)).distinct()
+
+
+def room_masks(rooms: DataFrame, key: str, polygon: str, members: DataFrame, points: DataFrame, origin: tuple[float, float], size: float, shape: tuple[int, int]) -> DataFrame:
+    """``(key, row, col)`` of each room: the cells of its points if it lists any that exist, else those of its polygon.
+
+    ``members``: ``key, point_id``; ``points``: ``point_id, x, y``. Points beyond the raster count to its border cells.
+    Rooms with neither have no row.
+    """
+    cell = lambda v, k: F.least(F.greatest(F.floor((F.col(v) - origin[k]) / size), F.lit(0)), F.lit(shape[1 - k] - 1))
+    own = members.join(points.select("point_id", cell("y", 1).alias("row"), cell("x", 0).alias("col")), "point_id").select(key, "row", "col").distinct()
+    own = written(own, "room-cells")
+    rest = rooms.join(own.select(key).distinct(), key, "left_anti")
+    return own.unionByName(polygon_cells(rest, key, polygon, origin, size, shape))
+
+
+def paths_near(cells: DataFrame, objects: DataFrame, radius: float, width: int) -> DataFrame:
+    """The path ``cells`` (``row, col``) of those 8-connected components that are the nearest of some object (``row, col``) within ``radius`` cells.
+
+    Objects and cells meet by squares of the radius' width, an object in the nine around its own, so only neighbours are compared;
+    of cells equally near the first in row-major order counts. Without objects no cell stays.
+    """
+    named = written(grids.components(cells, width), "components")
+    square = lambda k: F.floor(F.col(k) / max(1.0, float(radius)))
+    around = F.explode(F.array(*[F.struct((square("row") + i).alias("i"), (square("col") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    asked = objects.select(F.col("row").alias("r0"), F.col("col").alias("c0")).distinct()
+    asked = asked.withColumns({"row": F.col("r0"), "col": F.col("c0")}).select("r0", "c0", around.alias("s")).select("r0", "c0", "s.*")
+    met = named.select("row", "col", "component", square("row").alias("i"), square("col").alias("j")).join(asked, ["i", "j"])
+    d2 = (F.col("row") - F.col("r0")) * (F.col("row") - F.col("r0")) + (F.col("col") - F.col("c0")) * (F.col("col") - F.col("c0"))
+    nearest = met.where(d2 <= radius * radius).groupBy("r0", "c0").agg(F.min_by("component", F.struct(d2, "row", "col")).alias("component"))
+    return named.join(nearest.select("component").distinct(), "component", "left_semi").select("row", "col")

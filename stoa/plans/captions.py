@@ -9,11 +9,11 @@ from stoa.operators import sampling
 from stoa.plans.registry import query
 from stoa.session import table
 
-RAW = r"rw AS (SELECT doc_id, text, n_chars % 7 AS points, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents WHERE n_chars < 3000)"
+RAW = r"rw AS (SELECT doc_id, text, n_chars % 7 AS points, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents)"
 
 
 def captions(spark, sf):
-    return table(spark, sf, "documents").where("n_chars < 3000").select("doc_id", "text", (F.col("n_chars") % 7).alias("points"))
+    return table(spark, sf, "documents").select("doc_id", "text", (F.col("n_chars") % 7).alias("points"))
 
 
 COUNTS = r"""wc AS (SELECT doc_id, max(n) AS top FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS x FROM rw) GROUP BY 1, 2) GROUP BY 1),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stoa.operators import edits, points
+from stoa.operators import edits, points, sampling
 from stoa.plans.clouds import CLOUD, ROOM, cloud, plane
 from stoa.plans.objects import ITEMS, items
 from stoa.plans.registry import query
@@ -74,15 +74,15 @@ def graph_round_trip(spark, sf):
     return e.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "relation")
 
 
-@query(f"WITH {ITEMS}, rm AS (SELECT DISTINCT room FROM it), al AS (SELECT 0 AS k, '' AS a, 0 AS b, 'floor' AS what UNION ALL SELECT 1, room, 0, room FROM rm UNION ALL SELECT 2, room, id, 'o' || id FROM it) SELECT what, 'n' || (row_number() OVER (ORDER BY k, a, b) - 1) AS node FROM al WHERE b < 60")
+@query(f"WITH {ITEMS}, rm AS (SELECT DISTINCT room FROM it), al AS (SELECT 0 AS k, '' AS a, 0 AS b, 'floor' AS what UNION ALL SELECT 1, room, 0, room FROM rm UNION ALL SELECT 2, room, id, 'o' || id FROM it) SELECT what, 'n' || (row_number() OVER (ORDER BY k, a, b) - 1) AS node FROM al")
 def node_ids(spark, sf):
     """Nodes named in order of insertion: the root, rooms, then objects. What is numbered is one graph's nodes."""
     i = items(spark, sf)
     floor = spark.range(1).select(F.lit(0).alias("k"), F.lit("").alias("a"), F.lit(0).cast("long").alias("b"), F.lit("floor").alias("what"))
     rooms = i.select("room").distinct().select(F.lit(1).alias("k"), F.col("room").alias("a"), F.lit(0).cast("long").alias("b"), F.col("room").alias("what"))
-    own = i.where("id < 60").select(F.lit(2).alias("k"), F.col("room").alias("a"), F.col("id").alias("b"), F.concat(F.lit("o"), F.col("id").cast("string")).alias("what"))
-    number = F.row_number().over(Window.orderBy("k", "a", "b")) - 1
-    return floor.unionByName(rooms).unionByName(own).select("what", F.concat(F.lit("n"), number.cast("string")).alias("node"))
+    own = i.select(F.lit(2).alias("k"), F.col("room").alias("a"), F.col("id").alias("b"), F.concat(F.lit("o"), F.col("id").cast("string")).alias("what"))
+    nodes = floor.unionByName(rooms).unionByName(own).select("what", F.struct("k", "a", "b").alias("at"))
+    return nodes.join(sampling.dense_ranks(nodes, "at", "number"), "at").select("what", F.concat(F.lit("n"), F.col("number").cast("string")).alias("node"))
 
 
 @query("SELECT s_nationkey AS run, CASE WHEN count(*) FILTER (s_suppkey % 3 = 0) > 0 THEN 'edited' ELSE 'stitched' END AS source, CASE WHEN count(*) FILTER (s_suppkey % 2 = 0) > 0 THEN 'refined' ELSE 'raw' END AS rooms FROM supplier GROUP BY 1")

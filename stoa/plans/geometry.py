@@ -62,7 +62,7 @@ def fnv_keys(spark, sf):
     return cells(spark, sf).select("point_id", F.lpad(F.hex(codes.fnv([F.col("x"), F.col("y"), F.col("z")])), 16, "0").alias("key"))
 
 
-QUADS = """qd AS (SELECT p_partkey AS id, (p_partkey * 37 % 500) / 10.0::DOUBLE AS x, (p_partkey * 53 % 500) / 10.0::DOUBLE AS y, 1 + p_partkey % 5 / 5.0::DOUBLE AS w, (p_partkey % 3) / 4.0::DOUBLE AS t FROM part WHERE p_partkey < 400),
+QUADS = """qd AS (SELECT p_partkey AS id, p_partkey // 1000 * 60 + (p_partkey * 37 % 500) / 10.0::DOUBLE AS x, (p_partkey * 53 % 500) / 10.0::DOUBLE AS y, 1 + p_partkey % 5 / 5.0::DOUBLE AS w, (p_partkey % 3) / 4.0::DOUBLE AS t FROM part),
 co AS (SELECT id, unnest([1,2,3,4]) AS k, unnest([x, x + w, x + w + t, x + t]) AS px, unnest([y, y + t, y + w + t, y + w]) AS py FROM qd), sg AS (SELECT a.id, a.k, a.px AS ax, a.py AS ay, b.px AS ex, b.py AS ey FROM co a JOIN co b ON a.id = b.id AND b.k = a.k % 4 + 1),
 bb AS (SELECT id, min(px) x0, max(px) x1, min(py) y0, max(py) y1 FROM co GROUP BY 1)"""
 TOSEG = "sqrt(pow({p}x - {a}x - greatest(0, least(1, (({p}x-{a}x)*({b}x-{a}x) + ({p}y-{a}y)*({b}y-{a}y)) / (pow({b}x-{a}x,2)+pow({b}y-{a}y,2)))) * ({b}x-{a}x), 2) + pow({p}y - {a}y - greatest(0, least(1, (({p}x-{a}x)*({b}x-{a}x) + ({p}y-{a}y)*({b}y-{a}y)) / (pow({b}x-{a}x,2)+pow({b}y-{a}y,2)))) * ({b}y-{a}y), 2))"
@@ -71,7 +71,7 @@ ORI = "(({b}x-{a}x)*({c}y-{a}y) - ({b}y-{a}y)*({c}x-{a}x))"
 
 def quads(spark, sf):
     k = F.col("p_partkey")
-    q = table(spark, sf, "part").where("p_partkey < 400").select(k.alias("id"), (k * 37 % 500 / 10.0).alias("x"), (k * 53 % 500 / 10.0).alias("y"), (1 + k % 5 / 5.0).alias("w"), (k % 3 / 4.0).alias("t"))
+    q = table(spark, sf, "part").select(k.alias("id"), (F.floor(k / 1000) * 60 + k * 37 % 500 / 10.0).alias("x"), (k * 53 % 500 / 10.0).alias("y"), (1 + k % 5 / 5.0).alias("w"), (k % 3 / 4.0).alias("t"))
     x, y, w, t = (F.col(c) for c in "xywt")
     poly = F.array(F.array(x, y), F.array(x + w, y + t), F.array(x + w + t, y + w + t), F.array(x + t, y + w))
     q = q.select("id", poly.alias("polygon"))

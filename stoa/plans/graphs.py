@@ -49,9 +49,13 @@ def nav(spark, sf):
     return step(1).unionByName(step(24)).unionByName(step(7).where("src % 5 = 0")).distinct()
 
 
-@query(f"WITH RECURSIVE {NAV}, b AS (SELECT 3 AS node, 0 AS hops UNION SELECT dst, hops + 1 FROM b JOIN nav ON src = node WHERE hops < 12) SELECT node, min(hops) AS hops FROM b GROUP BY node")
+@query("""WITH RECURSIVE w AS (SELECT p_partkey AS src, unnest([p_partkey * 2, p_partkey * 2 + 1, p_partkey - 7]) AS dst FROM part), way AS (SELECT src, dst FROM w JOIN part ON p_partkey = dst),
+b AS (SELECT 3::BIGINT AS node, 0 AS hops UNION SELECT dst, hops + 1 FROM b JOIN way ON src = node WHERE hops < 24) SELECT node, min(hops) AS hops FROM b GROUP BY node""")
 def bfs_distances(spark, sf):
-    return graph.distances(nav(spark, sf), 3)
+    """Hops from one place over a graph as large as ``part``: two ways ahead and one back from each place."""
+    k = F.col("p_partkey")
+    ways = table(spark, sf, "part").select(k.alias("src"), F.explode(F.array(k * 2, k * 2 + 1, k - 7)).alias("dst"))
+    return graph.distances(ways.join(table(spark, sf, "part").select(k.alias("dst")), "dst", "left_semi").select("src", "dst"), 3)
 
 
 @query(f"WITH {NAV}, p(plan_id, step, node) AS (VALUES (1,0,0),(1,1,1),(1,2,2),(2,0,5),(2,1,12),(2,2,14),(3,0,9),(3,1,99)), s AS (SELECT *, lag(node) OVER (PARTITION BY plan_id ORDER BY step) AS before FROM p) SELECT plan_id, step, node, before FROM s WHERE before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nav WHERE src = before AND dst = node)")

@@ -113,11 +113,11 @@ def scene_points(spark, sf):
     return e.join(classes, "label").select("vec_id", "segment", F.when(F.col("segment").isNotNull(), F.col("vec_id") % 17).alias("instance"))
 
 
-@query("""WITH c AS (SELECT doc_id, source AS scene, unnest(string_split(text, '. ')) AS caption, generate_subscripts(string_split(text, '. '), 1) - 1 AS k FROM documents WHERE n_chars < 2000),
+@query("""WITH c AS (SELECT doc_id, source AS scene, unnest(string_split(text, '. ')) AS caption, generate_subscripts(string_split(text, '. '), 1) - 1 AS k FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY md5(doc_id || ':' || k || ':5'), doc_id, k) AS rn FROM c) SELECT scene, doc_id, CAST(k AS INT) AS k, caption FROM r WHERE rn <= 20""")
 def caption_sample(spark, sf):
     """Twenty captions of each scene, without replacement, from lists of lists laid flat: the sample is the operator."""
-    d = table(spark, sf, "documents").where("n_chars < 2000").select("doc_id", F.col("source").alias("scene"), F.posexplode(F.split("text", r"\. ")).alias("k", "caption"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("scene"), F.posexplode(F.split("text", r"\. ")).alias("k", "caption"))
     return sampling.hashed_top(d, ["scene"], ["doc_id", "k"], 5, 20).select("scene", "doc_id", "k", "caption")
 
 

@@ -10,8 +10,8 @@ from stoa.plans.registry import query
 from stoa.session import table
 
 # a mask is a stretch of parts around an instance's, of another length and shift for each supplier
-MASKS = """mk AS (SELECT s_suppkey % 3 AS scene, s_suppkey AS mask_id, s_suppkey // 3 % 4 AS class, p_partkey AS point_id FROM supplier JOIN part ON p_partkey BETWEEN (s_suppkey // 3 * 4 % 10 + s_suppkey % 4) * 20 + s_suppkey % 7 AND (s_suppkey // 3 * 4 % 10 + s_suppkey % 4) * 20 + 10 + s_suppkey % 13),
-gt AS (SELECT CAST(s AS BIGINT) AS scene, p_partkey AS point_id, CASE WHEN p_partkey // 20 % 5 < 4 THEN p_partkey // 20 % 4 END AS class, p_partkey // 20 AS instance FROM part, range(3) t(s) WHERE p_partkey < 200),
+MASKS = """mk AS (SELECT s_suppkey % 3 AS scene, s_suppkey AS mask_id, s_suppkey // 3 % 4 AS class, p_partkey AS point_id FROM supplier JOIN part ON p_partkey BETWEEN (s_suppkey // 20 * 20 + s_suppkey // 3 * 4 % 10 + s_suppkey % 4) * 20 + s_suppkey % 7 AND (s_suppkey // 20 * 20 + s_suppkey // 3 * 4 % 10 + s_suppkey % 4) * 20 + 10 + s_suppkey % 13),
+gt AS (SELECT CAST(s AS BIGINT) AS scene, p_partkey AS point_id, CASE WHEN p_partkey // 20 % 5 < 4 THEN p_partkey // 20 % 4 END AS class, p_partkey // 20 AS instance FROM part, range(3) t(s)),
 sc AS (SELECT s_suppkey % 3 AS scene, s_suppkey AS mask_id, s_suppkey * 37 % 1009 / 1009.0::DOUBLE AS score FROM supplier)"""
 PAIRS = f"""{MASKS}, sz AS (SELECT scene, class, instance, count(*) AS size FROM gt WHERE class IS NOT NULL GROUP BY 1, 2, 3), pn AS (SELECT scene, mask_id, class, count(*) AS points FROM mk GROUP BY 1, 2, 3),
 pr AS (SELECT scene, class, mask_id, instance, count(*) AS inter FROM mk JOIN gt USING (scene, point_id, class) GROUP BY 1, 2, 3, 4)"""
@@ -20,14 +20,14 @@ pr AS (SELECT scene, class, mask_id, instance, count(*) AS inter FROM mk JOIN gt
 def _masks(spark, sf):
     s, p = table(spark, sf, "supplier"), table(spark, sf, "part").select("p_partkey")
     k = F.col("s_suppkey")
-    first = (F.floor(k / 3) * 4 % 10 + k % 4) * 20
+    first = (F.floor(k / 20) * 20 + F.floor(k / 3) * 4 % 10 + k % 4) * 20
     spots = s.select((k % 3).alias("scene"), k.alias("mask_id"), (F.floor(k / 3) % 4).alias("class"), F.explode(F.sequence(first + k % 7, first + 10 + k % 13)).alias("point_id"))
     return spots.join(p, F.col("point_id") == F.col("p_partkey"), "left_semi")
 
 
 def _truth(spark, sf):
     i = F.floor(F.col("p_partkey") / 20)
-    return table(spark, sf, "part").where("p_partkey < 200").select(F.explode(F.array(*[F.lit(s).cast("long") for s in range(3)])).alias("scene"), F.col("p_partkey").alias("point_id"), F.when(i % 5 < 4, i % 4).alias("class"), i.alias("instance"))
+    return table(spark, sf, "part").select(F.explode(F.array(*[F.lit(s).cast("long") for s in range(3)])).alias("scene"), F.col("p_partkey").alias("point_id"), F.when(i % 5 < 4, i % 4).alias("class"), i.alias("instance"))
 
 
 def _scores(spark, sf):

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from stoa.operators import poses
 from stoa.plans.registry import query
-from stoa.session import table, written
+from stoa.session import table
 
 POSES = [(0.0, 0.0, 0.0), (0.5, 1.0, 0.1), (4.0, 9.0, 1.5), (-2.0, 3.0, -0.3), (30.0, 0.0, 0.0), (8.0, 18.0, 3.1), (1.0, -6.0, 0.02)]
 PENALTY, WEIGHT = 2.0, 0.25
 
 
-def guides(spark, sf):
+def guides(spark, sf, thinned=False):
     k, li, s = F.col("p_partkey") - 1, table(spark, sf, "lineitem"), table(spark, sf, "supplier")
     part = table(spark, sf, "part")
     height = part.count() // 10
     pixels = part.select(F.floor(k / 10).alias("row"), (k % 10).alias("col"), (F.col("p_size") / 50.0).alias("d"))
     near = part.select(F.floor(k / 10).alias("row"), (k % 10).alias("col"), ((F.col("p_size") * 7 % 50) / 50.0).alias("d"))
     band = li.select((F.col("l_quantity") / 6.0).alias("x"), ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 7) % 1000 / 1000.0 * 18).alias("y"))
+    if thinned:
+        square = [F.floor(F.col("x") * 10).alias("i"), F.floor(F.col("y") * 10).alias("j")]
+        band = band.groupBy(*square).agg(F.round(F.avg("x"), 9).alias("x"), F.round(F.avg("y"), 9).alias("y"))
     known = s.select((F.col("s_suppkey") * 37 % 90 / 10.0).alias("x"), (F.col("s_suppkey") * 53 % 180 / 10.0).alias("y"))
     shape = (height, 10, 1.0, (0.0, 0.0), PENALTY)
     return poses.wall_guide(band, pixels, *shape), poses.object_guide(known, near, *shape)
@@ -48,12 +49,10 @@ def pose_score(spark, sf):
 
 @query()
 def pose_search(spark, sf):
-    """The cheapest pose that the search finds in a few generations: a job each, whose rows at the driver are one a pose.
+    """The cheapest pose of a few generations of the search: a job each, whose rows at the driver are one a pose.
 
     As for a real cloud, the band is thinned first: a point for each square of a tenth of a metre, the mean of its points.
     """
-    walls, known = guides(spark, sf)
-    thin = walls.points.groupBy(F.floor(F.col("x") * 10).alias("i"), F.floor(F.col("y") * 10).alias("j")).agg(F.round(F.avg("x"), 9).alias("x"), F.round(F.avg("y"), 9).alias("y"))
-    walls = replace(walls, points=written(thin.select("x", "y"), "band"))
-    pose, cost = poses.search(lambda some: poses.pose_costs(walls, some, known, WEIGHT), [(-4.0, 4.0), (-4.0, 4.0), (-3.2, 3.2)], generations=3, size=4, seed=5, halvings=2)
+    walls, known = guides(spark, sf, thinned=True)
+    pose, cost = poses.search(lambda some: poses.pose_costs(walls, some, known, WEIGHT), [(-4.0, 4.0), (-4.0, 4.0), (-3.2, 3.2)], generations=3, size=4, seed=5, halvings=0)
     return spark.createDataFrame([(*pose, cost)], "tx double, ty double, yaw double, cost double")

@@ -9,7 +9,7 @@ from stoa.functions.text import natural_key
 from stoa.operators import grids, holes, rooms
 from stoa.plans.clouds import CLOUD, cloud
 from stoa.plans.registry import query
-from stoa.session import table
+from stoa.session import table, written
 
 SHAPE = (25, 25)
 GRID = "gd AS (SELECT CAST(n_nationkey AS BIGINT) AS r, CAST(j AS BIGINT) AS c FROM nation, range(25) t(j))"
@@ -220,3 +220,46 @@ def simplified_outlines(spark, sf):
     ring = F.array(*[F.array(F.lit(x) + F.col("n_regionkey"), F.lit(y)) for x, y in side])
     r = table(spark, sf, "nation").select("n_regionkey").distinct()
     return r.select(F.col("n_regionkey").alias("room"), F.size(rooms.simplified_column(ring, 0.2)).alias("corners"))
+
+
+ARROW = "[[0, 0], [w, 0], [w, w], [w / 2, w / 3], [0, w]]"
+CELL_M, ROWS = 0.25, 60
+SITES = f"""rm AS (SELECT p_partkey AS room, p_partkey // 100 * 8.0::DOUBLE + p_partkey * 37 % 70 / 10.0::DOUBLE AS x, p_partkey * 53 % 110 / 10.0::DOUBLE AS y, 1 + p_size / 20.0::DOUBLE AS w FROM part), wd AS (SELECT (max(p_partkey) // 100 + 1) * 32 + 40 AS width FROM part)"""
+
+
+def _sites(spark, sf):
+    k = F.col("p_partkey")
+    t = table(spark, sf, "part").select(k.alias("room"), (F.floor(k / 100) * 8.0 + k * 37 % 70 / 10.0).alias("x"), (k * 53 % 110 / 10.0).alias("y"), (1 + F.col("p_size") / 20.0).alias("w"))
+    x, y, w = F.col("x"), F.col("y"), F.col("w")
+    ring = F.array(F.array(x, y), F.array(x + w, y), F.array(x + w, y + w), F.array(x + w / 2, y + w / 3), F.array(x, y + w))
+    width = (table(spark, sf, "part").agg(F.max("p_partkey").alias("m")).first()["m"] // 100 + 1) * 32 + 40
+    return t.withColumn("polygon", ring), width
+
+
+@query(f"""WITH {SITES}, mb AS (SELECT l_partkey AS room, least(greatest(CAST(floor(l_quantity / 3.0 / {CELL_M}) AS BIGINT), 0), {ROWS - 1}) AS r, least(greatest(CAST(floor((l_partkey // 100 * 8 + l_suppkey % 8) / {CELL_M}) AS BIGINT), 0), (SELECT width FROM wd) - 1) AS c FROM lineitem WHERE l_partkey % 3 = 0),
+co AS (SELECT room, k, round_even((x + px) / {CELL_M}, 0) AS cx, round_even((y + py) / {CELL_M}, 0) AS cy FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS k, unnest([0, w, w, w / 2, 0]) AS px, unnest([0, 0, w, w / 3, w]) AS py FROM rm WHERE room NOT IN (SELECT room FROM mb))),
+sd AS (SELECT a.room, a.cx AS ax, a.cy AS ay, b.cx AS bx, b.cy AS byy FROM co a JOIN co b ON a.room = b.room AND b.k = a.k % 5 + 1), bb AS (SELECT room, CAST(min(cx) AS BIGINT) AS c0, CAST(max(cx) AS BIGINT) AS c1, CAST(min(cy) AS BIGINT) AS r0, CAST(max(cy) AS BIGINT) AS r1 FROM co GROUP BY 1),
+gr AS (SELECT room, r, unnest(range(c0, c1 + 1)) AS c FROM (SELECT *, unnest(range(r0, r1 + 1)) AS r FROM bb)),
+ins AS (SELECT room, r, c FROM gr JOIN sd USING (room) WHERE (ay <= r) <> (byy <= r) GROUP BY 1, 2, 3 HAVING count(*) FILTER (round(ax + (r - ay) * (bx - ax) / (byy - ay), 9) > c) % 2 = 1 OR count(*) FILTER (round(ax + (r - ay) * (bx - ax) / (byy - ay), 9) = c) > 0),
+st AS (SELECT *, greatest(abs(bx - ax), abs(byy - ay)) AS n FROM sd), ln AS (SELECT *, unnest(range(0, CAST(n AS BIGINT) + 1)) AS k FROM st),
+eg AS (SELECT room, CAST(floor(round(ay + (byy - ay) * k / greatest(n, 1), 9) + 0.5) AS BIGINT) AS r, CAST(floor(round(ax + (bx - ax) * k / greatest(n, 1), 9) + 0.5) AS BIGINT) AS c FROM ln)
+SELECT room, r AS "row", c AS col FROM mb UNION SELECT room, r, c FROM ins WHERE r BETWEEN 0 AND {ROWS - 1} AND c BETWEEN 0 AND (SELECT width FROM wd) - 1 UNION SELECT room, r, c FROM eg WHERE r BETWEEN 0 AND {ROWS - 1} AND c BETWEEN 0 AND (SELECT width FROM wd) - 1""")
+def room_masks(spark, sf):
+    """Cells of each room: those of its points where it lists any, else those of its polygon, here concave ones."""
+    sites, width = _sites(spark, sf)
+    li = table(spark, sf, "lineitem").where("l_partkey % 3 = 0").withColumn("point_id", F.monotonically_increasing_id())
+    li = written(li.select("point_id", F.col("l_partkey").alias("room"), (F.floor(F.col("l_partkey") / 100) * 8.0 + F.col("l_suppkey") % 8).alias("x"), (F.col("l_quantity") / 3.0).alias("y")), "room-points")
+    return rooms.room_masks(sites, "room", "polygon", li.select("room", "point_id"), li.select("point_id", "x", "y"), (0.0, 0.0), CELL_M, (ROWS, width))
+
+
+TRACKS = "ce AS (SELECT DISTINCT l_partkey AS r, CAST(floor(l_quantity) AS BIGINT) AS c FROM lineitem WHERE l_suppkey % 4 = 0 AND l_linenumber <= 3), ob AS (SELECT DISTINCT o_custkey AS r, o_orderkey % 50 AS c FROM orders WHERE o_orderkey % 10 = 0)"
+
+
+@query(f"""WITH RECURSIVE {TRACKS}, rc AS (SELECT r, c, r AS r0, c AS c0 FROM ce UNION SELECT a.r, a.c, b.r0, b.c0 FROM ce a JOIN rc b ON a.r BETWEEN b.r - 1 AND b.r + 1 AND a.c BETWEEN b.c - 1 AND b.c + 1), nm AS (SELECT r, c, min(r0 * 100 + c0) AS k FROM rc GROUP BY 1, 2),
+ds AS (SELECT ob.r AS r1, ob.c AS c1, arg_min(k, (pow(nm.r - ob.r, 2) + pow(nm.c - ob.c, 2)) * 1e9 + nm.r * 100 + nm.c) AS k FROM ob JOIN nm ON pow(nm.r - ob.r, 2) + pow(nm.c - ob.c, 2) <= 6.25 GROUP BY 1, 2)
+SELECT r AS "row", c AS col FROM nm WHERE k IN (SELECT k FROM ds)""")
+def paths_by_objects(spark, sf):
+    """Path cells whose component is the nearest of some object within two and a half cells."""
+    li = table(spark, sf, "lineitem").where("l_suppkey % 4 = 0 and l_linenumber <= 3").select(F.col("l_partkey").alias("row"), F.floor("l_quantity").alias("col")).distinct()
+    o = table(spark, sf, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("row"), (F.col("o_orderkey") % 50).alias("col"))
+    return rooms.paths_near(li, o, 2.5, 100)

@@ -19,6 +19,12 @@ def events(spark, sf):
 EV = "e AS (SELECT event_id, ts, user_id % 40 AS usr, event_type, value, props, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS k FROM events)"
 
 
+def clocked(spark, sf, seconds):
+    """The events, and a clock that strikes once ``seconds`` after the last of them."""
+    e = events(spark, sf)
+    return dialogue.with_clock(e, e.agg((F.max("ts") + F.make_interval(secs=F.lit(seconds))).alias("ts")), "user")
+
+
 @query(f"""WITH {EV}, s AS (SELECT *, max(CASE WHEN event_type IN ('view', 'purchase') THEN k END) OVER (PARTITION BY usr ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM e)
 SELECT s.usr AS "user", s.event_id, CASE WHEN l.event_type = 'view' THEN CASE WHEN s.event_type = 'click' THEN 'saved ' ELSE 'dropped ' END || l.event_id ELSE 'no_pending' END AS answer FROM s LEFT JOIN e l ON l.usr = s.usr AND l.k = s.p WHERE s.event_type IN ('click', 'purchase')""")
 def confirmed_texts(spark, sf):
@@ -48,13 +54,21 @@ def silent_links(spark, sf):
     return out.select("user", "event_id", F.round("silent", 3).alias("silent"))
 
 
+@query(f"""WITH {EV}, s AS (SELECT *, epoch(lead(ts) OVER (PARTITION BY usr ORDER BY k)) - epoch(ts) AS gap FROM e) SELECT usr AS "user", event_id, round(epoch(ts), 3) AS heard FROM s WHERE gap > 3600 OR gap IS NULL""")
+def silences_reported(spark, sf):
+    """The last event before each silence of an hour, also of those who are never heard of again; the stream comes in four batches."""
+    out = replayed(clocked(spark, sf, 10_000), lambda s: dialogue.silences(s, "user", 3600.0), "silences", batches=4)
+    return out.select("user", "event_id", F.round("heard", 3).alias("heard"))
+
+
 @query(f"""WITH RECURSIVE {EV}, f AS (SELECT usr, 0::BIGINT AS k, -1::BIGINT AS move, 0::DOUBLE AS began, 0::DOUBLE AS heard, -1::BIGINT AS o1, '' AS w1, -1::BIGINT AS o2, '' AS w2 FROM (SELECT DISTINCT usr FROM e) UNION ALL
-SELECT usr, k, CASE WHEN st THEN event_id WHEN mv >= 0 AND dn THEN -1 ELSE mv END, CASE WHEN st THEN now ELSE began END, CASE WHEN st OR (mv >= 0 AND dn) OR pg THEN now ELSE heard END, CASE WHEN mv <> move THEN move ELSE -1 END, CASE WHEN now - heard > 40000 THEN 'no_progress' ELSE 'timeout' END, CASE WHEN mv >= 0 AND (st OR dn) THEN mv ELSE -1 END, CASE WHEN st THEN 'replaced' ELSE 'reached' END
+SELECT usr, k, CASE WHEN st THEN event_id WHEN mv >= 0 AND dn THEN -1 ELSE mv END, CASE WHEN st THEN now ELSE began END, CASE WHEN st OR (mv >= 0 AND dn) OR pg THEN now ELSE heard END, CASE WHEN mv <> move THEN move ELSE -1 END, CASE WHEN heard + 40000 <= began + 90000 THEN 'no_progress' ELSE 'timeout' END, CASE WHEN mv >= 0 AND (st OR dn) THEN mv ELSE -1 END, CASE WHEN st THEN 'replaced' ELSE 'reached' END
 FROM (SELECT f.usr, e.k, e.event_id, epoch(e.ts) AS now, f.move, f.began, f.heard, CASE WHEN f.move >= 0 AND (epoch(e.ts) - f.heard > 40000 OR epoch(e.ts) - f.began > 90000) THEN -1 ELSE f.move END AS mv, e.event_type = 'signup' AS st, e.event_type = 'view' AS pg, e.event_type = 'purchase' AS dn FROM f JOIN e ON e.usr = f.usr AND e.k = f.k + 1))
-SELECT usr AS "user", o1 AS event_id, w1 AS outcome FROM f WHERE o1 >= 0 UNION ALL SELECT usr, o2, w2 FROM f WHERE o2 >= 0""")
+SELECT usr AS "user", o1 AS event_id, w1 AS outcome FROM f WHERE o1 >= 0 UNION ALL SELECT usr, o2, w2 FROM f WHERE o2 >= 0
+UNION ALL SELECT usr, move, CASE WHEN heard + 40000 <= began + 90000 THEN 'no_progress' ELSE 'timeout' END FROM (SELECT *, row_number() OVER (PARTITION BY usr ORDER BY k DESC) AS back FROM f) WHERE back = 1 AND move >= 0""")
 def move_outcomes(spark, sf):
-    """How each started move ends: reached, without progress, out of time, or replaced."""
-    return replayed(events(spark, sf), lambda s: dialogue.outcomes(s, "user", "signup", "view", "purchase", 40000.0, 90000.0), "moves")
+    """How each started move ends: reached, without progress, out of time, or replaced. After the last event a clock goes on, so that moves left open end too."""
+    return replayed(clocked(spark, sf, 100_000), lambda s: dialogue.outcomes(s, "user", "signup", "view", "purchase", 40000.0, 90000.0), "moves")
 
 
 @query(f"""WITH RECURSIVE {EV}, f AS (SELECT usr, 0::BIGINT AS k, NULL::VARCHAR AS text, 0::DOUBLE AS at, NULL::TIMESTAMP AS kept FROM (SELECT DISTINCT usr FROM e) UNION ALL
