@@ -47,7 +47,7 @@ def top_share(items: Column) -> Column:
         run = F.when(x == s["last"], s["run"] + 1).otherwise(1)
         return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
 
-    return F.aggregate(F.array_sort(items), start, step, lambda s: s["most"])
+    return F.aggregate(F.sort_array(items), start, step, lambda s: s["most"])
 
 
 def longest_run(items: Column) -> Column:
