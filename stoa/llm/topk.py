@@ -151,6 +151,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str
     Both tables have ``vec_id`` and ``vector``; components become ``floor(scale * x)``. Ties go to the smaller
     id; rows of the query's id are its own; fewer than ``k`` others give fewer rows. Vectors that are null, have
     null or non-finite parts, or no id take no part; vectors of another number of components never meet.
+    Scores are longs: lengths whose product reaches 2**62, or a length of 2**53 after scaling, are refused with an error.
     Repeated candidate rows count as often as they occur; query rows of one id give one answer, by its least vector.
     A block of queries goes to those blocks of vectors alone that are long enough for the least of its thresholds.
     """
@@ -164,6 +165,11 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str
         buckets = written(_blocks(clean(vectors), parts, bucket_rows), "norm-buckets")
         asked = written(_blocks(clean(queries).groupBy("vec_id").agg(F.min("v").alias("v")), parts, query_rows).select("dim", F.col("longest").alias("q_longest"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "query-blocks")
 
+    far = buckets.groupBy("dim").agg(F.max("longest").alias("c")).join(asked.groupBy("dim").agg(F.max("q_longest").alias("q")), "dim", "full")
+    beyond = far.agg(F.max(F.greatest(F.coalesce("c", F.lit(0.0)), F.coalesce("q", F.lit(0.0)))).alias("one"), F.max(F.col("c") * F.col("q")).alias("both")).first()
+    if (beyond["one"] or 0.0) >= 2.0**53 or (beyond["both"] or 0.0) >= 2.0**62:
+        raise OverflowError("vectors too long for 64-bit scores: scale them down")
+
     def search(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -193,7 +199,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str
         opened = written(opened.mapInArrow(search(True), "dim int, q_longest double, least double, q_ids binary, q_data binary, theta binary"), "thresholds")
         # each block of queries goes to each bucket of the norm order whose longest vector could still reach it
         reach = buckets.groupBy("bucket", "dim").agg(F.max("longest").alias("far"))  # a row a bucket
-        spread = opened.join(reach, "dim").where(F.col("far") * F.col("q_longest") * (1 + SLACK) >= F.col("least"))
+        spread = opened.join(F.broadcast(reach), "dim").where(F.col("far") * F.col("q_longest") * (1 + SLACK) >= F.col("least"))
         near = buckets.join(spread.drop("far"), ["bucket", "dim"]).where(F.col("longest") * F.col("q_longest") * (1 + SLACK) >= F.col("least"))
         pairs = near.select("dim", "q_longest", "q_ids", "q_data", "theta", "ids", "data")
         found = written(pairs.mapInArrow(search(False), "query_id long, vec_id long, score long"), "top-k")

@@ -409,3 +409,15 @@ def test_vectors_of_nothing_and_repeated_queries(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in topk.exact_top_k(df, df.where("vec_id = 0"), k=2).collect())
     assert got == [(0, 1, 2, 2 * 256 * 3 * 256), (0, 2, 1, 2 * 256 * 256)]
+
+
+def test_scores_beyond_a_long_are_refused(spark):
+    def top(size):
+        df = spark.createDataFrame([(i, [size * (1 + i / 8), size]) for i in range(4)], "vec_id long, embedding array<double>")
+        return sorted(tuple(r) for r in topk.exact_top_k(df, df.where("vec_id = 0"), k=2).collect())
+
+    x = 256 * 2**22
+    assert top(2.0**22) == [(0, 1, 3, x * (x + x * 3 // 8) + x * x), (0, 2, 2, x * (x + x // 4) + x * x)]
+    for size in (1e9, 1e18, 1e300):
+        with pytest.raises(OverflowError):
+            top(size)
