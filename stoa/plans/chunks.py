@@ -131,3 +131,22 @@ def run_summary(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("chunk_id"), (F.col("p_partkey") % 97 == 0).alias("failed"), (F.col("p_size") % 20).alias("votes"))
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("failed"), F.col("chunk_id")))), lambda x: x.cast("string")), ",")
     return p.agg(F.count_if("failed").alias("failed"), F.count_if(F.col("votes") == 0).alias("unlabelled"), F.count_if(F.col("votes") < 5).alias("weak"), names.alias("failed_chunks"))
+
+
+SEED_BOX, WITHIN = (20.0, 22.0, 1000.0, 1050.0), (0.0, 51.0, 900.0, 2200.0)
+_FAR = f"greatest(0, {SEED_BOX[0]} - x, x - {SEED_BOX[1]}, {SEED_BOX[2]} - y, y - {SEED_BOX[3]})"
+
+
+@query(f"""WITH RECURSIVE {PARTS}, mg AS (SELECT CASE WHEN {_FAR} = 0 OR (x BETWEEN {WITHIN[0]} AND {WITHIN[1]} AND y BETWEEN {WITHIN[2]} AND {WITHIN[3]}) THEN {_FAR} END AS m FROM pts), nn AS (SELECT count(*) // 10 + 5 AS wanted, count(*) // 5 AS most FROM pts),
+st AS (SELECT s AS m, (SELECT count(*) FROM mg WHERE mg.m <= s) AS n FROM (SELECT unnest([0.25 * pow(2, k) FOR k IN range(13)]) AS s)), hi AS (SELECT min(m) AS m FROM st, nn WHERE n >= wanted),
+b AS (SELECT 0 AS i, coalesce((SELECT max(st.m) FROM st WHERE st.m < hi.m), 0)::DOUBLE AS low, hi.m::DOUBLE AS high FROM hi UNION ALL
+SELECT i + 1, CASE WHEN (SELECT count(*) FROM mg WHERE mg.m <= (b.low + b.high) / 2) >= wanted THEN low ELSE (low + high) / 2 END, CASE WHEN (SELECT count(*) FROM mg WHERE mg.m <= (b.low + b.high) / 2) >= wanted THEN (low + high) / 2 ELSE high END FROM b, nn WHERE i < 28),
+hs AS (SELECT high, min(i) AS i, (SELECT count(*) FROM mg WHERE mg.m <= high) AS n FROM b WHERE i > 0 AND high < (SELECT m FROM hi) GROUP BY 1), lo AS (SELECT low AS m, (SELECT count(*) FROM mg WHERE mg.m <= low) AS n FROM (SELECT DISTINCT low FROM b UNION SELECT m FROM st WHERE m < (SELECT m FROM hi) UNION SELECT 0)),
+pk AS (SELECT coalesce((SELECT arg_max(high, i) FROM hs, nn WHERE n <= most), (SELECT arg_max(m, n * 1e6 - m) FROM lo, nn WHERE n <= most OR m = 0)) AS m)
+SELECT round(greatest({WITHIN[0]}, {SEED_BOX[0]} - m), 6) AS x0, round(least({WITHIN[1]}, {SEED_BOX[1]} + m), 6) AS x1, round(greatest({WITHIN[2]}, {SEED_BOX[2]} - m), 6) AS y0, round(least({WITHIN[3]}, {SEED_BOX[3]} + m), 6) AS y1 FROM pk""")
+def grown_context(spark, sf):
+    """A box widened within its bounds until a tenth of all points and five more are in it, and at most a fifth."""
+    p = plane(spark, sf)
+    n = p.count()
+    box = chunks.grown_box(p, SEED_BOX, n // 10, n // 5, WITHIN, spare=5)
+    return spark.createDataFrame([tuple(round(float(v), 6) for v in box)], "x0 double, x1 double, y0 double, y1 double")
