@@ -171,3 +171,17 @@ def prototype_predict(spark, sf):
     dot = F.aggregate(F.zip_with("v", "m", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     scored = e.join(broadcast_if_small(protos, 10_000)).select("vec_id", "class", F.round(dot, 9).alias("s"))
     return scored.groupBy("vec_id").agg(F.min_by("class", F.struct(-F.col("s"), "class")).alias("pred"))
+
+
+@query("""WITH s AS (SELECT x.label AS batch, x.vec_id AS i, y.vec_id AS j, 4 * list_inner_product(CAST(x.embedding AS DOUBLE[]), list_reverse(CAST(y.embedding AS DOUBLE[]))) AS v FROM embeddings x JOIN embeddings y USING (label)),
+r AS (SELECT batch, i, ln(sum(exp(v))) - sum(CASE WHEN i = j THEN v ELSE 0 END) AS lost FROM s GROUP BY 1, 2), c AS (SELECT batch, j, ln(sum(exp(v))) - sum(CASE WHEN i = j THEN v ELSE 0 END) AS lost FROM s GROUP BY 1, 2),
+b AS (SELECT batch, avg(ln(1 + exp(CASE WHEN i = j THEN -(v - 1) ELSE v - 1 END))) AS sigmoid FROM s GROUP BY 1)
+SELECT CAST(batch AS BIGINT) AS batch, n, round(softmax, 6) AS softmax, round(sigmoid, 6) AS sigmoid FROM (SELECT batch, count(*) // 2 AS n, avg(lost) AS softmax FROM (SELECT batch, lost FROM r UNION ALL SELECT batch, lost FROM c) GROUP BY 1) JOIN b USING (batch)""")
+def contrastive_scores(spark, sf):
+    """How well features find their partners in a batch, here the vectors of a label and themselves reversed."""
+    from stoa.operators import contrast
+
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    rows = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("batch"), F.col("vec_id").alias("item"), v.alias("a"), F.reverse(v).alias("b"))
+    out = contrast.contrastive(rows, scale=4.0, bias=-1.0, block=64)
+    return out.select("batch", "n", F.round("softmax", 6).alias("softmax"), F.round("sigmoid", 6).alias("sigmoid"))
