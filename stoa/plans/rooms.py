@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stoa.functions.text import natural_key
-from stoa.operators import grids, holes, rooms
+from stoa.operators import grids, holes, outlines, rooms
 from stoa.plans.clouds import CLOUD, cloud
 from stoa.plans.registry import query
 from stoa.session import table, written
@@ -263,3 +263,56 @@ def paths_by_objects(spark, sf):
     li = table(spark, sf, "lineitem").where("l_suppkey % 4 = 0 and l_linenumber <= 3").select(F.col("l_partkey").alias("row"), F.floor("l_quantity").alias("col")).distinct()
     o = table(spark, sf, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("row"), (F.col("o_orderkey") % 50).alias("col"))
     return rooms.paths_near(li, o, 2.5, 100)
+
+
+BORDERS = """ce AS (SELECT DISTINCT l_suppkey AS room, CAST(floor(l_quantity) AS BIGINT) AS r, l_partkey % 40 AS c FROM lineitem),
+sd AS (SELECT ce.room, (ce.r * 64 + ce.c) * 4 + k AS side, CASE WHEN e.room IS NOT NULL THEN (e.r * 64 + e.c) * 4 + (k + 3) % 4 WHEN a.room IS NOT NULL THEN (a.r * 64 + a.c) * 4 + k ELSE (ce.r * 64 + ce.c) * 4 + (k + 1) % 4 END AS nxt
+FROM ce CROSS JOIN (VALUES (0, 0, 1, -1, 0), (1, 1, 0, 0, 1), (2, 0, -1, 1, 0), (3, -1, 0, 0, -1)) w(k, i, j, p, q) LEFT JOIN ce o ON o.room = ce.room AND o.r = ce.r + p AND o.c = ce.c + q
+LEFT JOIN ce a ON a.room = ce.room AND a.r = ce.r + i AND a.c = ce.c + j LEFT JOIN ce e ON e.room = ce.room AND e.r = ce.r + i + p AND e.c = ce.c + j + q WHERE o.room IS NULL),
+wk AS (SELECT room, side AS s0, side, nxt FROM sd UNION ALL SELECT w.room, w.s0, sd.side, sd.nxt FROM wk w JOIN sd ON sd.room = w.room AND sd.side = w.nxt WHERE w.nxt > w.s0),
+st AS (SELECT room, s0, nxt, side // 4 % 64 AS c, side // 256 AS r, nxt // 4 % 64 AS c2, nxt // 256 AS r2 FROM wk),
+lp AS (SELECT room, s0, sum(c * r2 - c2 * r) / 2.0::DOUBLE AS area, sum(sqrt(pow(c2 - c, 2) + pow(r2 - r, 2))) AS length FROM st GROUP BY 1, 2 HAVING count(*) FILTER (nxt = s0) > 0)"""
+
+
+@query(f"WITH RECURSIVE {BORDERS}, bs AS (SELECT *, row_number() OVER (PARTITION BY room ORDER BY area DESC, s0) AS rn FROM lp) SELECT room, area, round(length, 6) AS length FROM bs WHERE rn = 1")
+def room_outlines(spark, sf):
+    """The area within the outline of each room's largest region, and the outline's length, traced over rasters of ragged cells."""
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("room"), F.floor("l_quantity").alias("row"), (F.col("l_partkey") % 40).alias("col"))
+    found = outlines.outlines(li, "room", 64)
+    after = lambda i: F.get("outline", (i + 1) % F.size("outline"))
+    steps = F.transform("outline", lambda p, i: F.hypot(after(i)[0] - p[0], after(i)[1] - p[1]))
+    return found.select("room", "area", F.round(F.aggregate(steps, F.lit(0.0), lambda s, x: s + x), 6).alias("length"))
+
+
+def _snap_sql(reach: int, least: int) -> str:
+    """Four sides in turn, each as those before left it."""
+    steps, names = [], [f"{a}{k}" for k in range(4) for a in "xy"]
+    for i in range(4):
+        j, on = (i + 1) % 4, f"q{i}"
+        dx, dy = f"abs(x{j} - x{i})", f"abs(y{j} - y{i})"
+        v = f"({dy} > 0 AND {dx} / {dy} < 0.35)"
+        steps.append(f"s{i} AS (SELECT *, {v} AS v, NOT {v} AND {dx} > 0 AND {dy} / {dx} < 0.35 AS h, round_even((CASE WHEN {v} THEN x{i} + x{j} ELSE y{i} + y{j} END) * 0.5 / {CELL_M}, 0) AS m, floor((CASE WHEN {v} THEN least(y{i}, y{j}) ELSE least(x{i}, x{j}) END) / {CELL_M}) AS lo, ceil((CASE WHEN {v} THEN greatest(y{i}, y{j}) ELSE greatest(x{i}, x{j}) END) / {CELL_M}) AS hi FROM {on})")
+        steps.append(f"n{i} AS (SELECT room, c AS line, count(*) AS n FROM s{i} JOIN wl ON c BETWEEN m - {reach} AND m + {reach} AND r BETWEEN lo AND hi WHERE v GROUP BY 1, 2 UNION ALL SELECT room, r, count(*) FROM s{i} JOIN wl ON r BETWEEN m - {reach} AND m + {reach} AND c BETWEEN lo AND hi WHERE h GROUP BY 1, 2)")
+        steps.append(f"b{i} AS (SELECT room, arg_max(line, n * 1000000 - line) * {CELL_M}::DOUBLE AS lv FROM n{i} GROUP BY 1 HAVING max(n) >= {least})")
+        new = [f"CASE WHEN {'v' if a == 'x' else 'h'} THEN coalesce(lv, {a}{k}) ELSE {a}{k} END AS {a}{k}" if k in (i, j) else f"{a}{k}" for k in range(4) for a in "xy"]
+        steps.append(f"q{i + 1} AS (SELECT room, {', '.join(new)} FROM s{i} LEFT JOIN b{i} USING (room))")
+    cross = " + ".join(f"x{k} * y{(k + 1) % 4} - x{(k + 1) % 4} * y{k}" for k in range(4))
+    low, high = (lambda a: f"least({', '.join(f'{a}{k}' for k in range(4))})"), (lambda a: f"greatest({', '.join(f'{a}{k}' for k in range(4))})")
+    kept = ", ".join(f"CASE WHEN big THEN e.{n} ELSE q0.{n} END AS {n}" for n in names)
+    return f"{', '.join(steps)}, en AS (SELECT *, abs({cross}) / 2 > 0.5 AS big FROM q4), fi AS (SELECT room, {kept} FROM en e JOIN q0 USING (room)) SELECT room, round(abs({cross}) / 2, 6) AS area, round({low('x')}, 6) AS x_low, round({high('x')}, 6) AS x_high, round({low('y')}, 6) AS y_low, round({high('y')}, 6) AS y_high FROM fi"
+
+
+@query(f"""WITH {SITES}, q0 AS (SELECT room, x AS x0, y AS y0, x + w AS x1, y + w / 9 AS y1, x + w + w / 7 AS x2, y + w AS y2, x + w / 2 AS x3, y + w AS y3 FROM rm),
+wl AS (SELECT DISTINCT least(greatest(CAST(floor(l_quantity / 3.0 / {CELL_M}) AS BIGINT), 0), {ROWS - 1}) AS r, CAST(floor((l_partkey // 100 * 8 + l_suppkey % 8) / {CELL_M}) AS BIGINT) AS c FROM lineitem WHERE l_partkey % 100 < 12), {_snap_sql(3, 3)}""")
+def wall_snapped_rooms(spark, sf):
+    """Leaning four-sided rooms with their sides moved onto the wall lines beside them: what they cover then."""
+    sites, width = _sites(spark, sf)
+    x, y, w = F.col("x"), F.col("y"), F.col("w")
+    ring = F.array(F.array(x, y), F.array(x + w, y + w / 9), F.array(x + w + w / 7, y + w), F.array(x + w / 2, y + w))
+    row = F.least(F.greatest(F.floor(F.col("l_quantity") / 3.0 / CELL_M), F.lit(0)), F.lit(ROWS - 1))
+    wall = table(spark, sf, "lineitem").where("l_partkey % 100 < 12").select(row.alias("row"), F.floor((F.floor(F.col("l_partkey") / 100) * 8 + F.col("l_suppkey") % 8) / CELL_M).alias("col")).distinct()
+    out = outlines.snapped_to_walls(sites.select("room", ring.alias("polygon")), "room", "polygon", wall, (0.0, 0.0), CELL_M, (ROWS, width), 0.75, 0.75)
+    after = lambda i: F.get("polygon", (i + 1) % F.size("polygon"))
+    twice = F.aggregate(F.transform("polygon", lambda p, i: p[0] * after(i)[1] - after(i)[0] * p[1]), F.lit(0.0), lambda s, v: s + v)
+    side = lambda k: F.transform("polygon", lambda p: p[k])
+    return out.select("room", F.round(F.abs(twice) / 2, 6).alias("area"), *[F.round(f(side(k)), 6).alias(f"{a}_{n}") for k, a in enumerate("xy") for n, f in (("low", F.array_min), ("high", F.array_max))])
