@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return keep
 
 
-from stoa.plans import captions, chunks, clouds, colours, editing, geometry, graphs, intake, labels, masks, objects, plans, poses, robots, rooms, scenes, streams, texts  # noqa: E402, F401  each registers its queries
+from stoa.plans import captions, chunks, clouds, colours, editing, files, geometry, graphs, intake, labels, masks, objects, plans, poses, robots, rooms, scenes, streams, texts  # noqa: E402, F401  each registers its queries
