@@ -248,3 +248,37 @@ def overlaid_cloud(spark, sf):
     """A transformed cloud with an overlay appended."""
     c = cloud(spark, sf).where("label < 5").select("point_id", "x", "z", F.lit("floor").alias("source"))
     return c.unionByName(table(spark, sf, "part").select(F.col("p_partkey").alias("point_id"), (F.col("p_size") / 50.0).alias("x"), F.lit(0.0).alias("z"), F.lit("overlay").alias("source")))
+
+
+def _noise_sql(a: str, seed: int) -> str:
+    part = lambda at: f"CAST('0x' || substr({DRAWS.format(k='scene, i, j, k', s=seed)}, {at}, 8) AS BIGINT)"
+    return f"sqrt(-2 * ln(({part(1)} + 1) / 4294967296.0::DOUBLE)) * cos(2 * pi() * {part(9)} / 4294967296.0::DOUBLE) AS d{a}"
+
+
+def _elastic_sql(k: int, granularity: float, magnitude: float, seed: int) -> str:
+    """Points ``c{k}`` moved to ``c{k + 1}``: a whole lattice a scene, means of three along each axis twice, eight corners."""
+    ends = ", ".join(f"min({a}) AS l{a}, CAST(floor((max({a}) - min({a})) / {granularity}) AS BIGINT) + 3 AS n{a}" for a in "xyz")
+    out = [f"e{k} AS (SELECT scene, {ends} FROM c{k} GROUP BY 1)", f"g{k} AS (SELECT scene, nx, ny, nz, i, j, k FROM e{k}, LATERAL (SELECT unnest(range(nx)) AS i) a, LATERAL (SELECT unnest(range(ny)) AS j) b, LATERAL (SELECT unnest(range(nz)) AS k) d)"]
+    out.append(f"m{k}_0 AS (SELECT *, {', '.join(_noise_sql(a, 3 * seed + n) for n, a in enumerate('xyz'))} FROM g{k})")
+    for n, (v, size) in enumerate(zip("ijk", ("nx", "ny", "nz"), strict=True)):
+        same = " AND ".join(f"a.{w} = b.{w}" for w in "ijk" if w != v)
+        weight = f"greatest(least(least(a.{v}, b.{v}) + 1, a.{size} - 1) - greatest(greatest(a.{v}, b.{v}) - 1, 0) + 1, 0) / 9.0::DOUBLE"
+        out.append(f"m{k}_{n + 1} AS (SELECT a.scene, a.i, a.j, a.k, any_value(a.nx) AS nx, any_value(a.ny) AS ny, any_value(a.nz) AS nz, {', '.join(f'sum({weight} * b.d{a}) AS d{a}' for a in 'xyz')} FROM m{k}_{n} a JOIN m{k}_{n} b ON a.scene = b.scene AND {same} AND abs(a.{v} - b.{v}) <= 2 GROUP BY 1, 2, 3, 4)")
+    out.append(f"u{k} AS (SELECT point_id, scene, {', '.join(f'{a}, ({a} - l{a}) / {granularity} + 1 AS u{a}' for a in 'xyz')} FROM c{k} JOIN e{k} USING (scene))")
+    lies = " AND ".join(f"m.{v} BETWEEN CAST(floor(u{a}) AS BIGINT) AND CAST(floor(u{a}) AS BIGINT) + 1" for v, a in zip("ijk", "xyz", strict=True))
+    share = " * ".join(f"(1 - abs(u{a} - m.{v}))" for v, a in zip("ijk", "xyz", strict=True))
+    out.append(f"c{k + 1} AS (SELECT point_id, u.scene, {', '.join(f'any_value({a}) + {magnitude} * sum({share} * d{a}) AS {a}' for a in 'xyz')} FROM u{k} u JOIN m{k}_3 m ON m.scene = u.scene AND {lies} GROUP BY 1, 2)")
+    return ", ".join(out)
+
+
+ELASTIC = ((0.1, 0.02), (0.25, 0.08))
+
+
+@query(f"""WITH c0 AS (SELECT vec_id AS point_id, label AS scene, {', '.join(f'CAST(embedding[{k + 1}] AS DOUBLE) AS {a}' for k, a in enumerate('xyz'))} FROM embeddings), {', '.join(_elastic_sql(k, g, m, 7 + k + 1) for k, (g, m) in enumerate(ELASTIC))}
+SELECT point_id, {', '.join(f"round(CASE WHEN {DRAWS.format(k='c0.scene', s=7)} < 'f3333333' THEN c2.{a} ELSE c0.{a} END, 6) AS {a}" for a in 'xyz')} FROM c0 JOIN c2 USING (point_id)""")
+def elastic_distortion(spark, sf):
+    """Scenes bent by smooth noise, finely and then coarsely, nineteen of twenty."""
+    from stoa.operators import distortion
+
+    e = cloud(spark, sf).withColumnRenamed("label", "scene")
+    return distortion.elastic(e, "scene", ELASTIC, 0.95, 7).select("point_id", *[F.round(a, 6).alias(a) for a in "xyz"])
