@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stoa.operators import masks
+from stoa.operators import masks, metrics
 from stoa.plans.registry import query
-from stoa.session import table
+from stoa.session import scratch, table
 
 # a mask is a stretch of parts around an instance's, of another length and shift for each supplier
 MASKS = """mk AS (SELECT s_suppkey % 3 AS scene, s_suppkey AS mask_id, s_suppkey // 3 % 4 AS class, p_partkey AS point_id FROM supplier JOIN part ON p_partkey BETWEEN (s_suppkey // 20 * 20 + s_suppkey // 3 * 4 % 10 + s_suppkey % 4) * 20 + s_suppkey % 7 AND (s_suppkey // 20 * 20 + s_suppkey // 3 * 4 % 10 + s_suppkey % 4) * 20 + 10 + s_suppkey % 13),
@@ -70,6 +70,29 @@ def mask_mean_precision(spark, sf):
     return ap.groupBy(F.when(F.col("class") < 2, "head").otherwise("tail").alias("subset")).agg(F.round(F.avg("ap"), 6).alias("map"), F.round(F.avg(F.when(F.col("overlap") == 0.5, F.col("ap"))), 6).alias("map50"))
 
 
+@query(f"""WITH {MATCHES}, ar AS (SELECT overlap, class, sum(hit) AS hits, sum(CASE WHEN hit = 1 THEN env END) AS area FROM en GROUP BY 1, 2), kc AS (SELECT overlap, class FROM ar UNION SELECT overlap, class FROM ls)
+SELECT kc.overlap, kc.class, round(coalesce(area, 0) / (coalesce(hits, 0) + coalesce(lost, 0)), 6) AS ap FROM kc LEFT JOIN ar USING (overlap, class) LEFT JOIN ls USING (overlap, class) WHERE coalesce(hits, 0) + coalesce(lost, 0) > 0""")
+def precision_over_runs(spark, sf):
+    """Average precision from the saved states of two runs, the second over the last scene."""
+    path = scratch(spark, "metric")
+    own, told, real = _masks(spark, sf), _scores(spark, sf), _truth(spark, sf)
+    for run, scenes in (("first", "scene < 2"), ("second", "scene = 2")):
+        metrics.saved(metrics.matching_state(masks.matches(*[t.where(scenes) for t in (own, told, real)], OVERLAPS, 5)), path, run)
+    return metrics.average_precisions(metrics.continued(spark, path)).select("overlap", "class", F.round("ap", 6).alias("ap"))
+
+
+@query("""WITH p AS (SELECT CASE WHEN p_partkey // 20 % 5 < 4 THEN p_partkey // 20 % 4 END AS gt, (p_partkey // 20 % 4 + CASE WHEN p_partkey % 7 = s THEN 1 ELSE 0 END) % 4 AS pred FROM part, range(3) t(s)), k AS (SELECT * FROM p WHERE gt IS NOT NULL),
+c AS (SELECT class, (SELECT count(*) FROM k WHERE gt = class AND pred = class) AS tp, (SELECT count(*) FROM k WHERE gt = class) AS g, (SELECT count(*) FROM k WHERE pred = class) AS q FROM range(4) t(class))
+SELECT class, round(tp / (g + q - tp), 6) AS iou, round(CASE WHEN g > 0 THEN tp / g ELSE 0 END, 6) AS accuracy FROM c WHERE g + q > 0""")
+def iou_over_runs(spark, sf):
+    """Intersection over union and accuracy of classes from a run a scene; the last is saved twice, as after a failure."""
+    path, real = scratch(spark, "metric"), _truth(spark, sf)
+    for scene in (0, 1, 2, 2):
+        labels = real.where(F.col("scene") == scene).select(F.col("class").alias("gt"), ((F.floor(F.col("point_id") / 20) % 4 + (F.col("point_id") % 7 == scene).cast("int")) % 4).alias("pred"))
+        metrics.saved(metrics.confusion_state(labels), path, f"scene-{scene}")
+    return metrics.class_scores(metrics.continued(spark, path)).select("class", F.round("iou", 6).alias("iou"), F.round("accuracy", 6).alias("accuracy"))
+
+
 LOGITS = """lg AS (SELECT vec_id AS point_id, vec_id % 12 AS mask_id, [exp(CAST(embedding[1] AS DOUBLE)*4), exp(CAST(embedding[2] AS DOUBLE)*4), exp(CAST(embedding[3] AS DOUBLE)*4), exp(CAST(embedding[4] AS DOUBLE)*4)] AS e, CAST(embedding[5] AS DOUBLE)*3 AS m FROM embeddings)"""
 
 
