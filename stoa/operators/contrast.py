@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stoa.session import written
@@ -55,3 +55,25 @@ def contrastive(pairs: DataFrame, scale: float = 1.0, bias: float = 0.0, block:
     each = each.select("batch", "side", (F.col("most") + F.log("total") - F.col("own")).alias("lost"), "cross")
     n = F.count_if(F.col("side") == 0)
     return each.groupBy("batch").agg(n.alias("n"), F.avg("lost").alias("softmax"), (F.sum("cross") / (n * n)).alias("sigmoid"))
+
+
+def mask_losses(cells: DataFrame, group: str, mask: str, logit: str, target: str) -> DataFrame:
+    """``(group, masks, dice, cross)``: of each group, the means over its masks of the dice loss and of the binary cross-entropy.
+
+    ``cells`` has a row for each point of a mask: its logit and whether it belongs (0 or 1, or a share). Sums are made a mask before the
+    shuffle; exponentials never overflow. Rows with a null logit or target take no part.
+    """
+    x, t = F.col(logit).cast("double"), F.col(target).cast("double")
+    p = F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
+    cross = F.greatest(x, F.lit(0.0)) - x * t + F.log1p(F.exp(-F.abs(x)))
+    sums = cells.where(x.isNotNull() & t.isNotNull()).groupBy(group, mask).agg(F.sum(p * t).alias("_both"), F.sum(p).alias("_p"), F.sum(t).alias("_t"), F.avg(cross).alias("_cross"))
+    dice = 1 - (2 * F.col("_both") + 1) / (F.col("_p") + F.col("_t") + 1)
+    return sums.groupBy(group).agg(F.count(F.lit(1)).alias("masks"), F.avg(dice).alias("dice"), F.avg("_cross").alias("cross"))
+
+
+def class_cross(logits: Column, label: Column, ignore: int | None = None) -> Column:
+    """Cross-entropy of an array of logits against its true class, counted from 0; null where the label is ignored, null or beyond the array."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    lost = top + F.log(total) - F.get(logits, label.cast("int"))
+    return lost if ignore is None else F.when(label != ignore, lost)

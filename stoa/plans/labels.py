@@ -185,3 +185,26 @@ def contrastive_scores(spark, sf):
     rows = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("batch"), F.col("vec_id").alias("item"), v.alias("a"), F.reverse(v).alias("b"))
     out = contrast.contrastive(rows, scale=4.0, bias=-1.0, block=64)
     return out.select("batch", "n", F.round("softmax", 6).alias("softmax"), F.round("sigmoid", 6).alias("sigmoid"))
+
+
+@query("""WITH m AS (SELECT label, vec_id, CAST(embedding[k] AS DOUBLE) * 9 AS x, CASE WHEN embedding[k % 64 + 1] > 0 THEN 1.0::DOUBLE ELSE 0 END AS t FROM embeddings, range(1, 65) r(k)),
+s AS (SELECT label, vec_id, 1 - (2 * sum(t / (1 + exp(-x))) + 1) / (sum(1 / (1 + exp(-x))) + sum(t) + 1) AS dice, avg(ln(1 + exp(-x)) + x * (1 - t)) AS cross_loss FROM m GROUP BY 1, 2)
+SELECT CAST(label AS BIGINT) AS scene, count(*) AS masks, round(avg(dice), 6) AS dice, round(avg(cross_loss), 6) AS cross_loss FROM s GROUP BY 1""")
+def mask_losses(spark, sf):
+    """Dice loss and binary cross-entropy of masks, a mean a scene: vectors are masks of 64 points, their neighbours' signs the truth."""
+    from stoa.operators import contrast
+
+    e = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("scene"), "vec_id", "embedding", F.posexplode("embedding").alias("k", "x"))
+    cells = e.select("scene", "vec_id", (F.col("x").cast("double") * 9).alias("logit"), (F.get("embedding", (F.col("k") + 1) % 64) > 0).cast("int").alias("target"))
+    out = contrast.mask_losses(cells, "scene", "vec_id", "logit", "target")
+    return out.select("scene", "masks", F.round("dice", 6).alias("dice"), F.round("cross", 6).alias("cross_loss"))
+
+
+@query("""WITH s AS (SELECT vec_id % 7 AS part, label, list_transform(embedding[1:10], lambda v: CAST(v AS DOUBLE) * 4) AS z FROM embeddings WHERE label <> 9) SELECT part, count(*) AS n, round(avg(ln(list_sum(list_transform(z, lambda v: exp(v)))) - z[label + 1]), 6) AS loss FROM s GROUP BY 1""")
+def class_cross_entropy(spark, sf):
+    """Mean cross-entropy of ten logits against the true class; the ignored class takes no part."""
+    from stoa.operators import contrast
+
+    z = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double") * 4)
+    lost = table(spark, sf, "embeddings").select((F.col("vec_id") % 7).alias("part"), contrast.class_cross(z, F.col("label"), 9).alias("lost")).where("lost is not null")
+    return lost.groupBy("part").agg(F.count("lost").alias("n"), F.round(F.avg("lost"), 6).alias("loss"))

@@ -24,3 +24,20 @@ def test_blocks_merge_to_whole_log_sums(spark, block):
     for batch, values in want.items():
         assert got[batch] == pytest.approx(values, rel=1e-9)
     assert contrast.contrastive(df.limit(0)).collect() == []
+
+
+def test_mask_and_class_losses(spark):
+    """Logits of hundreds, empty masks, ignored and missing labels."""
+    rng = np.random.default_rng(4)
+    x, t = rng.normal(size=(3, 30)) * 200, (rng.random((3, 30)) < 0.3).astype(float)
+    t[2] = 0
+    cells = [(1, m, float(x[m, k]), float(t[m, k])) for m in range(3) for k in range(30)] + [(1, 0, None, 1.0), (2, 0, 1.0, None)]
+    df = spark.createDataFrame(cells, "scene long, mask long, x double, t double")
+    p = np.exp(-np.logaddexp(0, -x))
+    dice = (1 - (2 * (p * t).sum(1) + 1) / (p.sum(1) + t.sum(1) + 1)).mean()
+    cross = (np.logaddexp(0, x) - x * t).mean()
+    got = contrast.mask_losses(df, "scene", "mask", "x", "t").collect()
+    assert [(r["scene"], r["masks"]) for r in got] == [(1, 3)] and (got[0]["dice"], got[0]["cross"]) == pytest.approx((dice, cross))
+    rows = spark.createDataFrame([([700.0, 1.0], 0), ([700.0, 1.0], 1), ([0.0, 0.0], 5), ([0.0, 0.0], None), ([3.0, 3.0], 9)], "z array<double>, y int")
+    lost = [r[0] for r in rows.select(contrast.class_cross(rows["z"], rows["y"], 9)).collect()]
+    assert lost[:2] == pytest.approx([0.0, 699.0]) and lost[2:] == [None] * 3
