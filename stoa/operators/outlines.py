@@ -153,8 +153,8 @@ def snapped(polygon: np.ndarray, walls: np.ndarray, origin: tuple[float, float],
 def snapped_to_walls(rooms: DataFrame, key: str, polygon: str, walls: DataFrame, origin: tuple[float, float], size: float, shape: tuple[int, int], distance: float, support: float) -> DataFrame:
     """``(key, polygon)`` of every room, its sides moved onto wall lines within ``distance`` metres that have ``support`` metres of wall.
 
-    ``walls``: distinct ``row, col``. A room meets the wall cells of the tiles around its sides, however many lie within it;
-    its group is its corners and those cells. Rooms with null or fewer than three corners come as they are.
+    ``walls``: distinct ``row, col`` from 0 on. A room meets the wall cells of the tiles around its sides, however many lie within it;
+    it gets its corners and those cells. Rooms with null or fewer than three corners come as they are.
     """
     reach, least = max(0, round(distance / size)), max(2, round(support / size))
     margin = 3 * reach + 3  # a corner moves with both its sides, and a side looks as far again
@@ -165,17 +165,17 @@ def snapped_to_walls(rooms: DataFrame, key: str, polygon: str, walls: DataFrame,
     span = lambda k: F.sequence(tile(F.least(F.col("s.a")[k], F.col("s.b")[k]), k, -margin), tile(F.greatest(F.col("s.a")[k], F.col("s.b")[k]), k, margin))
     tiles = side.select(key, F.explode(span(0)).alias("tc"), span(1).alias("_rows")).select(key, "tc", F.explode("_rows").alias("tr")).distinct()
     laid = walls.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).withColumns({"tc": F.floor(F.col("col") / TILE), "tr": F.floor(F.col("row") / TILE)})
-    met = laid.join(tiles, ["tc", "tr"]).select(F.col(key).alias("_room"), "row", "col")
-    corners = rooms.select(key, ring.alias("_p"))
+    met = laid.join(tiles, ["tc", "tr"]).groupBy(F.col(key).alias("_room")).agg(F.collect_list(F.shiftleft("row", 31) + F.col("col")).alias("_near"))
 
-    def one(_, room: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        cells = near[["row", "col"]].to_numpy(np.int64).reshape(-1, 2)
+    @F.pandas_udf("array<array<double>>")
+    def moved(rings: pd.Series, near: pd.Series) -> pd.Series:
         out = []
-        for name, p in zip(room[key], room["_p"], strict=True):
+        for p, packed in zip(rings, near, strict=True):
             if p is not None and len(p) >= 3:
-                p = snapped(np.array([list(q) for q in p], float), cells, origin, size, reach, least, shape).tolist()
-            out.append((name, p))
-        return pd.DataFrame(out, columns=[key, "polygon"])
+                at = np.asarray([] if packed is None else packed, np.int64)
+                p = snapped(np.array([list(q) for q in p], float), np.stack([at >> 31, at & ((1 << 31) - 1)], 1), origin, size, reach, least, shape).tolist()
+            out.append(p)
+        return pd.Series(out, dtype=object)
 
-    kind = rooms.schema[key].dataType.simpleString()
-    return corners.groupBy(key).cogroup(met.groupBy("_room")).applyInPandas(one, f"`{key}` {kind}, polygon array<array<double>>")
+    laid_rooms = rooms.select(key, ring.alias("_p"))
+    return laid_rooms.join(met, F.col(key) == F.col("_room"), "left").select(key, moved("_p", "_near").alias("polygon"))
