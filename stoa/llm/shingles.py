@@ -1,9 +1,12 @@
-"""Near-duplicate documents by word shingles: MinHash bands for candidates, exact Jaccard similarity for links.
+"""Near-duplicate documents by word shingles: SimHash groups and MinHash bands for candidates, exact Jaccard similarity for links.
 
-A document is the set of its five-word shingles. ``BANDS`` keys of ``ROWS`` least hashes each bring documents
-together: a pair at similarity ``s`` misses every band with chance ``(1 - s**ROWS)**BANDS``, 3 in a million at 0.8.
+A document is the set of its five-word shingles. It meets others in two ways. SimHash fingerprints of the sets are
+linked by covering locality-sensitive hashing (``simhash.fingerprint_links``): no pair of ``RADIUS`` or fewer differing
+bits is missed. Pairs at a similarity of 0.8 differ in more bits, though, 4 to 14 on sf0.1, so ``BANDS`` keys of ``ROWS``
+least hashes each bring together the rest: a pair at similarity ``s`` misses every band with chance
+``(1 - s**ROWS)**BANDS``, 3 in a million at 0.8.
 Links are exact, by whole sets, in two steps. Each document is compared with the least one that it meets in any
-band, which joins a tight group at one comparison a member, whatever its size. What is left are bands that bring
+place, which joins a tight group at one comparison a member, whatever its size. What is left are places that bring
 together documents of different groups: those are compared across groups, never within one.
 """
 
@@ -20,10 +23,11 @@ from pyspark.sql import functions as F
 
 from stoa.llm.memory import give_back, small_batches
 from stoa.llm.rows import row_keys, taken_rows
+from stoa.llm.simhash import fingerprint_links, majority
 from stoa.operators.components import connected_components
 from stoa.session import join_skewed, written
 
-SEED, ROWS, BANDS = 42, 5, 32
+SEED, ROWS, BANDS, RADIUS = 42, 5, 32, 4
 _RNG = np.random.default_rng(SEED)
 _FLIP = _RNG.integers(0, 2**64, (ROWS * BANDS, 1), np.uint64)
 _ODD = _RNG.integers(0, 2**64, (ROWS * BANDS, 1), np.uint64) | np.uint64(1)
@@ -66,20 +70,33 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _described(text: Column, words: int) -> Column:
-    @F.pandas_udf("h long, n int, bands array<long>")
+    @F.pandas_udf("h long, n int, fp long, bands array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for t in batch:
                 parts = split_words(t)
                 own = shingles(parts, words)
-                rows.append((word_hash(parts), len(own), band_keys(own)))
-            yield pd.DataFrame(rows, columns=["h", "n", "bands"])
+                rows.append((word_hash(parts), len(own), majority(own.astype(">u8").tobytes()), band_keys(own)))
+            yield pd.DataFrame(rows, columns=["h", "n", "fp", "bands"])
         give_back()
 
     return run(text)
 
 
+def meetings(firsts: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``h, band, key``: the places where documents meet, of ``h, n, fp, bands`` rows. Sets without shingles meet nowhere.
+
+    Place -1 is the group of fingerprints reachable by steps of ``radius`` bits, the others are the MinHash bands.
+    """
+    some = firsts.where("n > 0")
+    linked = connected_components(fingerprint_links(some, radius))
+    prints = some.groupBy("fp").agg(F.count(F.lit(1)).alias("rows"))
+    named = prints.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("key"), "rows")
+    groups = join_skewed(some.select("h", "fp"), named, "fp", "rows").select("h", F.lit(-1).alias("band"), "key")
+    return groups.unionByName(some.select("h", F.posexplode("bands").alias("band", "key")))
+
+
 def similar_links(names: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links from each group's least name to its others; groups are closed over all pairs at ``percent`` or more.
 
@@ -197,8 +214,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     small_batches(docs.sparkSession)
     told = docs.select(*row_keys(docs), F.col(doc_id).alias("id"), _described(F.col(text), words).alias("told"))
     base = written(told.select("k1", "k2", "id", "told.*"), "shingles")
-    firsts = written(base.dropDuplicates(["h"]).select("h", "n", "bands", "k1", "k2"), "distinct")
-    keys = firsts.select("h", F.posexplode("bands").alias("band", "key"))
+    firsts = written(base.dropDuplicates(["h"]).select("h", "n", "fp", "bands", "k1", "k2"), "distinct")
+    keys = meetings(firsts)
     least = keys.groupBy("band", "key").agg(F.min("h").alias("src"), F.max("h").alias("last"), F.count(F.lit(1)).alias("rows")).where("src < last")
     bucket = F.xxhash64("band", "key").alias("bucket")
     shared = written(join_skewed(keys.select("h", bucket), least.select(bucket, "src", "rows"), "bucket", "rows"), "bands")

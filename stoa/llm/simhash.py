@@ -25,6 +25,16 @@ from stoa.session import cut, free_name, join_skewed, written
 SEED = 42
 
 
+def majority(hashes: bytes) -> int:
+    """The signed 64-bit number whose bits are set in over half of the big-endian 64-bit ``hashes``; of no hashes zero."""
+    n = len(hashes) // 8
+    ones = np.zeros(64, np.int64)
+    raw = np.frombuffer(hashes, np.uint8).reshape(n, 8)
+    for at in range(0, n, 4096):  # long texts in slices
+        ones += np.unpackbits(raw[at : at + 4096], axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+
+
 def fingerprint(text: str | None, words: int = 4) -> int:
     """The signed 64-bit fingerprint of one text: ASCII letters in lower case, words cut at ASCII white space.
 
@@ -44,12 +54,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
         hashes = b"".join(
             [digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)]
         )
-    n = len(hashes) // 8
-    ones = np.zeros(64, np.int64)
-    raw = np.frombuffer(hashes, np.uint8).reshape(n, 8)
-    for at in range(0, n, 4096):  # long texts in slices
-        ones += np.unpackbits(raw[at : at + 4096], axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+    return majority(hashes)
 
 
 def fingerprint_column(text: Column, words: int = 4) -> Column:

@@ -586,3 +586,19 @@ def test_pipeline_drops_near_copies(spark, near_rows):
     docs = spark.createDataFrame(near_rows, "doc_id long, text string")
     got = corpus_pipeline.near_copies_out(spark, docs, "")
     assert {r["doc_id"] for r in got.collect()} == {near_rows[i][0] for i in brute_keep_first(near_rows)}
+
+
+def test_fingerprint_groups_meet(spark, near_rows):
+    """Place -1 of a document is its SimHash group: texts linked within four bits, closed over links, as by all pairs."""
+    docs = spark.createDataFrame(near_rows, "doc_id long, text string").where("doc_id is not null")
+    told = docs.select(F.col("doc_id").alias("h"), shingles._described(F.col("text"), 5).alias("t")).select("h", "t.n", "t.fp", "t.bands")
+    got = {r["h"]: r["key"] for r in shingles.meetings(told).where("band = -1").collect()}
+    prints = {d: simhash.majority(shingles.shingles(shingles.split_words(t)).astype(">u8").tobytes()) for d, t in near_rows if d is not None and (t or "").strip()}
+    group = {d: d for d in prints}
+    for a in prints:
+        for b in prints:
+            if group[a] != group[b] and bin((prints[a] ^ prints[b]) & (2**64 - 1)).count("1") <= 4:
+                old, new = group[a], group[b]
+                group = {d: new if g == old else g for d, g in group.items()}
+    by = lambda m: {frozenset(d for d in m if m[d] == k) for k in m.values()}
+    assert by(got) == by(group) and 1 < len(by(got)) < len(got)
