@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stoa.session import cut
 
 
+PART_ROWS = 10_000  # of an edge table, at least, in each of its partitions
 HUBS = 1000  # nodes with more than this share of all edge ends, so no more than that many, are joined by broadcast
 
 
@@ -19,6 +20,11 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` in no more partitions than ``n`` rows need: each map task of a shuffle makes three files, even of no rows."""
+    return rows.coalesce(-(-n // PART_ROWS) or 1)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` for each node of an edge, the component being its smallest node.
 
@@ -31,6 +37,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
     )
     state = _state(edges)
+    edges = _few(edges, state[0])
     while state[0]:
         both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
@@ -39,18 +46,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         met = up.join(hubs, F.col("hi") == F.col("u")).unionByName(
             up.join(hubs, F.col("hi") == F.col("u"), "left_anti").join(least.where("not hub").select("u", "m"), F.col("hi") == F.col("u"))
         )
-        large = met.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = _few(_few(met.select(F.col("lo").alias("hi"), F.col("m").alias("lo")), state[0]).distinct(), state[0])
         lower = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
         small = (
             large.join(lower, F.col("hi") == F.col("u"))
             .where("lo != m")
             .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .unionByName(lower.select(F.col("u").alias("hi"), F.col("m").alias("lo")))
-            .distinct()
         )
-        edges = cut(small)
+        edges = cut(_few(_few(small, state[0]).distinct(), state[0]))
         before, state = state, _state(edges)
         if before == state:
             break
     nodes = edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-    return nodes.unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+    return nodes.unionByName(_few(edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct(), state[0]))

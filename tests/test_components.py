@@ -30,3 +30,21 @@ def test_long_chain(spark):
     edges = [(i, i + 1) for i in range(200)]
     got = connected_components(spark.createDataFrame(edges, "src long, dst long"))
     assert {r["component"] for r in got.collect()} == {0} and got.count() == 201
+
+
+def test_small_edges_stay_in_few_partitions_and_leave_no_shuffles(spark):
+    conf = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name, None)
+    try:
+        edges = spark.range(300).selectExpr("id as src", "id + if(id % 10 = 9, 0, 1) as dst")
+        groups = connected_components(edges)
+        assert groups.rdd.getNumPartitions() <= 4
+        assert {(r["node"], r["component"]) for r in groups.collect()} == {(i, i - i % 10) for i in range(300)}
+        assert spark.conf.get(name, None) == setting
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
