@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -30,6 +30,20 @@ def register(spark: SparkSession) -> None:
 _SHAPE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
+PARTS = 320_000  # held of a task at most, and those of one more piece of text
+
+
+class _Parts(dict):
+    """Ids of parts, each made when it is first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self[part] = self.make(part)
+        return ids
+
+
 class _Encoder:
     """Ids of whole texts by a tokenizer file whose pre-tokens never cross white space.
 
@@ -37,7 +51,7 @@ class _Encoder:
     the marks at their ends, are kept beyond the task: the last ``keep`` to ``2 * keep`` of them, some 200 bytes each. Texts with a special token's string or an information separator are encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 80_000):
+    def __init__(self, path: str, keep: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,7 +61,7 @@ class _Encoder:
         rest = [b for b in range(256) if b not in set(table)]
         self.bytes = {b: chr(b) for b in table} | {b: chr(256 + k) for k, b in enumerate(rest)}  # the byte-level alphabet
         self.keep, self.words, self.older = keep, {}, {}
-        self.parts: dict[str, bytes] = {}
+        self.parts = _Parts(self._part)
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -67,6 +81,9 @@ class _Encoder:
         return ids
 
     def _part(self, part: str) -> bytes:
+        if part.isascii() and part.isalpha():
+            word = part.lower()
+            return self.words.get(word) or self._piece(word)
         shape = _SHAPE.fullmatch(part)
         if shape is None:
             return self._whole(part)
@@ -78,19 +95,15 @@ class _Encoder:
         return ids + (self.words.get(marks) or self._piece(marks)) if marks else ids
 
     def forget(self) -> None:
-        self.parts = {}
+        self.parts.clear()
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self._whole(text)
         out = []
         for _, piece in cp.pieces(text):
-            parts = piece.split()
-            ids = list(map(self.parts.get, parts))
-            for k in [k for k, own in enumerate(ids) if own is None]:
-                ids[k] = self.parts[parts[k]] = self._part(parts[k])
-            out += ids
-            if len(self.parts) > 4 * self.keep:
+            out.append(b"".join(map(self.parts.__getitem__, piece.split())))
+            if len(self.parts) > PARTS:
                 self.forget()
         return b"".join(out)
 

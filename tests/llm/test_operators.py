@@ -602,3 +602,13 @@ def test_fingerprint_groups_meet(spark, near_rows):
                 group = {d: new if g == old else g for d, g in group.items()}
     by = lambda m: {frozenset(d for d in m if m[d] == k) for k in m.values()}
     assert by(got) == by(group) and 1 < len(by(got)) < len(got)
+
+
+def test_encoder_keeps_words_beyond_a_task():
+    own = token_codes._Encoder(tokenizer_file())
+    text = " ".join("".join("abcdefghij"[int(d)] for d in str(k)) for k in range(170_000))
+    ids = own(text)
+    own.forget()
+    made, piece = [], own._piece
+    own._piece = lambda word: made.append(word) or piece(word)
+    assert own(text) == ids and not made
