@@ -1,6 +1,9 @@
 import random
 
-from stoa.operators.components import connected_components
+import numpy as np
+
+from stoa.operators import components
+from stoa.operators.components import connected_components, stars
 
 
 def test_components_of_random_graphs(spark):
@@ -48,3 +51,55 @@ def test_small_edges_stay_in_few_partitions_and_leave_no_shuffles(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def _least(edges):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return {n: find(n) for n in parent}
+
+
+def test_stars_of_one_partition():
+    random.seed(5)
+    for nodes, rows in ((2, 1), (40, 25), (300, 280), (300, 900)):
+        edges = {tuple(sorted(random.sample(range(-nodes, nodes), 2), reverse=True)) for _ in range(rows)}
+        hi, lo = (np.array(x, np.int64) for x in zip(*edges, strict=True))
+        assert dict(zip(*(x.tolist() for x in stars(hi, lo)), strict=True)) == {n: c for n, c in _least(edges).items() if n != c}
+
+
+def test_few_edges_take_few_jobs(spark):
+    """A chain in one partition needs no steps: each has some ten jobs, whose plans the driver keeps."""
+    context = spark.sparkContext
+    context.setJobGroup("few-edges", "few-edges")
+    try:
+        edges = spark.range(400).selectExpr("id as src", "id + 1 as dst")
+        got = {(r["node"], r["component"]) for r in connected_components(edges).collect()}
+        jobs = len(context.statusTracker().getJobIdsForGroup("few-edges"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+    assert got == {(n, 0) for n in range(401)} and jobs <= 12
+
+
+def test_edges_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(components, "PART_ROWS", 16)
+    random.seed(7)
+    order = random.sample(range(500), 500)
+    edges = [(order[i], order[i + 1]) for i in range(499) if i % 50 != 49] + [(600, n) for n in range(601, 700)]
+    frame = spark.createDataFrame(edges, "src long, dst long").repartition(8)
+    assert {r["node"]: r["component"] for r in connected_components(frame).collect()} == _least(edges)
+
+
+def test_components_of_named_nodes(spark):
+    edges = [("b", "c"), ("a", "c"), ("x", "é"), ("y", "x")]
+    got = connected_components(spark.createDataFrame(edges, "src string, dst string"))
+    assert {r["node"]: r["component"] for r in got.collect()} == _least(edges)
