@@ -18,7 +18,8 @@ def box_pairs(boxes: DataFrame, key: str, limit: float) -> DataFrame:
 
     Boxes go to the cells that they cover with a margin; two boxes are compared in the first cell that both cover,
     so a pair is made once and only neighbours meet. Cells are a few limits wide, and not less than nine in ten
-    of the boxes, so most boxes have four cells at most.
+    of the boxes, so most boxes have four cells at most. Both sides are shuffled: what a box computes or carries doesn't
+    show in the size of its table, from which Spark would take it for small enough to go through the driver.
     """
     side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     usual = boxes.agg(F.percentile_approx(side, 0.9).alias("w")).first()["w"] or 0.0
@@ -32,7 +33,7 @@ def box_pairs(boxes: DataFrame, key: str, limit: float) -> DataFrame:
         return laid.select("_cell_x", "_cell_y", *[F.col(c).alias(f"{side}_{c}") for c in boxes.columns])
 
     a, b = ({k: F.col(f"{s}_{k}") for k in ("x0", "x1", "y0", "y1")} for s in "ab")
-    met = spread("a", limit).join(spread("b", 0.0), ["_cell_x", "_cell_y"]).where((F.col(f"a_{key}") < F.col(f"b_{key}")) & (box_gap(a, b) <= limit))
+    met = spread("a", limit).join(spread("b", 0.0).hint("merge"), ["_cell_x", "_cell_y"]).where((F.col(f"a_{key}") < F.col(f"b_{key}")) & (box_gap(a, b) <= limit))
     first = (F.col("_cell_x") == F.greatest(F.floor((a["x0"] - limit) / width), F.floor(b["x0"] / width))) & (F.col("_cell_y") == F.greatest(F.floor((a["y0"] - limit) / width), F.floor(b["y0"] / width)))
     return met.where(first).drop("_cell_x", "_cell_y").withColumn("gap", box_gap(a, b))
 

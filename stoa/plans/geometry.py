@@ -9,7 +9,7 @@ from stoa.functions import codes, colours, shapes
 from stoa.operators import relations, sampling
 from stoa.plans.clouds import CLOUD, cloud
 from stoa.plans.registry import query
-from stoa.session import table
+from stoa.session import table, written
 
 CELLS = f"{CLOUD}, cc AS (SELECT point_id, CAST(floor((x + 1) * 511) AS BIGINT) AS x, CAST(floor((y + 1) * 511) AS BIGINT) AS y, CAST(floor((z + 1) * 511) AS BIGINT) AS z FROM cloud)"
 
@@ -85,11 +85,12 @@ ds AS (SELECT ia, ib, CASE WHEN {ORI.format(a='a', b='e', c='c')} * {ORI.format(
 mn AS (SELECT ia, ib, min(d) AS d FROM ds GROUP BY 1, 2) SELECT ia AS a, ib AS b, round(CASE WHEN d < 1e-7 THEN 0 ELSE d END, 6) AS distance FROM mn WHERE d <= 0.5""")
 def polygon_neighbours(spark, sf):
     """Rooms whose outlines come within half a metre: boxes first, then their sides."""
-    p = relations.box_pairs(quads(spark, sf), "id", 0.5).select("a_id", "b_id", F.explode(shapes.segments(F.col("a_polygon"))).alias("s"), "b_polygon")
-    p = p.select("a_id", "b_id", "s", F.explode(shapes.segments(F.col("b_polygon"))).alias("u"))
-    at = lambda s, e: (F.col(f"{s}.{e}x"), F.col(f"{s}.{e}y"))
-    d = shapes.segment_distance(at("s", "a"), at("s", "b"), at("u", "a"), at("u", "b"))
-    near = p.groupBy(F.col("a_id").alias("a"), F.col("b_id").alias("b")).agg(F.min(d).alias("d")).where("d <= 0.5")
+    q = quads(spark, sf).withColumn("sides", shapes.segments(F.col("polygon"))).drop("polygon")
+    q = written(q, "quads")  # else each step's filters make boxes and sides anew
+    p = relations.box_pairs(q, "id", 0.5).select("a_id", "b_id", F.explode("a_sides").alias("s"), "b_sides")
+    p = p.select("a_id", "b_id", "s", F.explode("b_sides").alias("u")).where(shapes.segments_meet(F.col("s"), F.col("u"), 0.5))
+    p = p.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), shapes.side_distance(F.col("s"), F.col("u")).alias("d"))
+    near = p.groupBy("a", "b").agg(F.min("d").alias("d")).where("d <= 0.5")
     return near.select("a", "b", F.round(F.when(F.col("d") < 1e-7, 0.0).otherwise(F.col("d")), 6).alias("distance"))
 
 
