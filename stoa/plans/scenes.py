@@ -43,8 +43,7 @@ def support_pairs(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(gap,9), dst) AS rank FROM p) SELECT src, dst, rank FROM r WHERE rank <= 3""")
 def capped_next_to(spark, sf):
     """Of each source, the three nearest: the cap is the relation's definition."""
-    p = relations.box_pairs(boxes(spark, sf), "id", 2.0).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), F.round("gap", 9).alias("gap"))
-    return p.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("gap", "dst")).cast("long")).where("rank <= 3").drop("gap")
+    return relations.nearest_after(boxes(spark, sf), "id", 2.0, 3)
 
 
 @query("""WITH n AS (SELECT l_partkey AS instance_id, CASE WHEN l_suppkey % 6 > 0 THEN l_suppkey % 6 END AS room, count(*) n FROM lineitem GROUP BY 1,2),
