@@ -21,7 +21,7 @@ def boxes(spark, sf):
 
 @query(f"WITH {BOXES} SELECT a.id AS a, b.id AS b, round({GAP},6) AS gap FROM bx a JOIN bx b ON a.id < b.id AND {GAP} <= 1.0")
 def near_boxes(spark, sf):
-    return relations.box_pairs(boxes(spark, sf), "id", 1.0).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round("gap", 6).alias("gap"))
+    return relations.near_pairs(boxes(spark, sf), "id", 1.0).select("a", "b", F.round("gap", 6).alias("gap"))
 
 
 OVER = "greatest(least(a.x1,b.x1)-greatest(a.x0,b.x0),0)*greatest(least(a.y1,b.y1)-greatest(a.y0,b.y0),0)"
