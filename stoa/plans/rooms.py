@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stoa.functions.text import natural_key
-from stoa.operators import grids, holes, outlines, rooms
+from stoa.operators import grids, holes, outlines, points, rooms
 from stoa.plans.clouds import CLOUD, cloud
 from stoa.plans.registry import query
 from stoa.session import table, written
@@ -203,14 +203,10 @@ def mask_assignment(spark, sf):
 rk AS (SELECT *, row_number() OVER (PARTITION BY room ORDER BY round(gap, 9), oid) AS rank FROM pr) SELECT room, other, rank FROM rk WHERE rank <= 6""")
 def natural_neighbours(spark, sf):
     """Each room's six nearest within reach, ties in natural order of their names: the cap is the operator."""
-    from stoa.operators.points import near_pairs
-
     k = F.col("s_suppkey")
-    r = table(spark, sf, "supplier").select(F.concat(F.lit("Room "), k.cast("string")).alias("room"), k.alias("id"), (k * 37 % 1000 / 20.0).alias("x"))
-    pairs = near_pairs(r, "room", "x", 0.75)
-    both = pairs.select(F.col("a").alias("room"), F.col("b").alias("other"), "gap").unionByName(pairs.select(F.col("b").alias("room"), F.col("a").alias("other"), "gap"))
-    rank = F.row_number().over(Window.partitionBy("room").orderBy(F.round("gap", 9), natural_key(F.col("other")))).cast("long")
-    return both.select("room", "other", rank.alias("rank")).where("rank <= 6")
+    r = table(spark, sf, "supplier").select(F.concat(F.lit("Room "), k.cast("string")).alias("room"), (k * 37 % 1000 / 20.0).alias("x"))
+    p = points.nearest_in_line(r, "room", "x", 0.75, 6, natural_key(F.col("room")), 9)
+    return p.select(F.col("item").alias("room"), "other", "rank")
 
 
 @query("SELECT n_regionkey AS room, 4 AS corners FROM nation GROUP BY 1")
