@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stoa.session import cut, written
+from stoa.session import broadcast_if_small, cut, written
 
 
 def tree(edges: DataFrame, root: str) -> DataFrame:
@@ -32,12 +32,18 @@ def with_inverse(edges: DataFrame, inverse: dict[str, str]) -> DataFrame:
 
 
 def distances(edges: DataFrame, start: int) -> DataFrame:
-    """``(node, hops)`` of all nodes within reach: each wave meets only nodes not yet seen."""
-    seen = cut(edges.sparkSession.createDataFrame([(start, 0)], f"node {edges.schema['src'].dataType.simpleString()}, hops int"))
-    wave = seen
+    """``(node, hops)`` of all nodes within reach: each wave meets only nodes not yet seen.
+
+    The edges are made once. A wave is broadcast while it is counted to be small, else both sides are shuffled.
+    """
+    kind = edges.schema["src"].dataType.simpleString()
+    edges = written(edges.select("src", "dst"), "edges")
+    seen = wave = cut(edges.sparkSession.createDataFrame([(start, 0)], f"node {kind}, hops int"))
     for hops in count(1):
-        ahead = edges.join(wave.select("node"), edges["src"] == wave["node"]).select(F.col("dst").alias("node")).distinct()
-        wave = cut(ahead.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hops)))
+        near = wave.select("node")
+        held = broadcast_if_small(near)
+        ahead = edges.join(near.hint("merge") if held is near else held, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
+        wave = written(ahead.join(seen.select("node").hint("merge"), "node", "left_anti").withColumn("hops", F.lit(hops)), "wave")
         if wave.isEmpty():
             break
         seen = seen.unionByName(wave)

@@ -55,7 +55,8 @@ def bfs_distances(spark, sf):
     """Hops from one place over a graph as large as ``part``: two ways ahead and one back from each place."""
     k = F.col("p_partkey")
     ways = table(spark, sf, "part").select(k.alias("src"), F.explode(F.array(k * 2, k * 2 + 1, k - 7)).alias("dst"))
-    return graph.distances(ways.join(table(spark, sf, "part").select(k.alias("dst")), "dst", "left_semi").select("src", "dst"), 3)
+    places = table(spark, sf, "part").select(k.alias("dst")).hint("merge")  # one column looks small to Spark however many rows it has
+    return graph.distances(ways.join(places, "dst", "left_semi").select("src", "dst"), 3)
 
 
 @query(f"WITH {NAV}, p(plan_id, step, node) AS (VALUES (1,0,0),(1,1,1),(1,2,2),(2,0,5),(2,1,12),(2,2,14),(3,0,9),(3,1,99)), s AS (SELECT *, lag(node) OVER (PARTITION BY plan_id ORDER BY step) AS before FROM p) SELECT plan_id, step, node, before FROM s WHERE before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nav WHERE src = before AND dst = node)")
