@@ -26,6 +26,24 @@ def test_blocks_merge_to_whole_log_sums(spark, block):
     assert contrast.contrastive(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(("block", "held"), [(3, 9), (64, 1), (1, 25)])
+def test_parts_merge_and_leave_a_row_each(spark, monkeypatch, block, held):
+    """Batches in several parts; what is kept between is a row of a side for each part of its batch, whatever the block."""
+    rng = np.random.default_rng(5)
+    n, kept = 50, []
+    a, b = rng.normal(size=(n, 4)) * 12, rng.normal(size=(n, 4)) * 12
+    z = a @ b.T
+    sums = lambda m: m.max(1) + np.log(np.exp(m - m.max(1, keepdims=True)).sum(1))
+    lost = np.concatenate([sums(z) - np.diag(z), sums(z.T) - np.diag(z)]).mean()
+    own = contrast.written
+    monkeypatch.setattr(contrast, "written", lambda df, name: kept.append(own(df, name)) or kept[-1])
+    df = spark.createDataFrame([(7, 3 * k, a[k].tolist(), b[k].tolist()) for k in range(n)], "batch long, item long, a array<double>, b array<double>")
+    got = contrast.contrastive(df, 1.0, 0.5, block, held).collect()
+    assert [(r["batch"], r["n"]) for r in got] == [(7, n)]
+    assert (got[0]["softmax"], got[0]["sigmoid"]) == pytest.approx((lost, np.logaddexp(0.0, np.where(np.eye(n) > 0, -1, 1) * (z + 0.5)).mean()), rel=1e-9)
+    assert sum(df.count() for df in kept) <= 2 * n * -(-n // held)
+
+
 def test_mask_and_class_losses(spark):
     """Logits of hundreds, empty masks, ignored and missing labels."""
     rng = np.random.default_rng(4)
