@@ -1,13 +1,17 @@
 """Outlines of rasters' regions, traced by list ranking, and outlines moved onto the wall lines beside them.
 
 A region's border is its cells' free sides. Which side follows which is told by a cell's eight neighbours alone; the order
-within a loop comes by pointer jumping, a number of rounds that grows with the logarithm of the longest loop.
+within a loop comes by pointer jumping, a number of rounds that grows with the logarithm of the longest loop. Regions that fit a task
+are ranked there, many at once; for larger ones each round is a job.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,15 +62,8 @@ def ranked_loops(links: DataFrame, key: str) -> DataFrame:
         at, length = new.drop("learnt"), length * 2
 
 
-def outlines(cells: DataFrame, key: str, width: int) -> DataFrame:
-    """``(key, outline, area)``: of each key's cells (``key, row, col``, columns below ``width``) the loop around the largest area.
-
-    The outline is an array of ``[col, row]`` through cell centres, from the loop's first side on, with a corner at every turn
-    of the border; the area is that within the centres, so regions one cell thick have 0. Equal areas: the loop of the least
-    side. Loops around holes enclose no area of the region and don't count. Rows with nulls take no part; repeats count once.
-    A key's corners are one array: its border's turns, not its cells.
-    """
-    own = cells.where(F.col(key).isNotNull() & F.col("row").isNotNull() & F.col("col").isNotNull()).select(key, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).distinct()
+def _jobs_outlines(own: DataFrame, key: str, width: int) -> DataFrame:
+    """``outlines`` of distinct cells without nulls, a job a round."""
     sides = written(border_sides(own, key, width), "sides")
     placed = written(ranked_loops(sides, key), "ranks")
     turning = sides.where("turns")
@@ -88,6 +85,114 @@ def outlines(cells: DataFrame, key: str, width: int) -> DataFrame:
     return found.select(key, F.transform("b._ring", lambda p: F.array(p["c"].cast("double"), p["r"].cast("double"))).alias("outline"), (F.col("b._twice") / 2.0).alias("area"))
 
 
+def _traced(keys: np.ndarray, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(key, size, twice the area, c, r)``: of each key (whole numbers, rising) the outline's corners, one after the other, and how many they are."""
+    order = np.lexsort((col, row, keys))
+    keys, row, col = keys[order], row[order], col[order]
+    new = np.r_[True, (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]) | (col[1:] != col[:-1])]
+    keys, row, col = keys[new], row[new], col[new]
+    spots = [np.unique(np.concatenate([v - 1, v, v + 1])) for v in (row, col)]  # few numbers, neighbours still beside each other
+    wide = len(spots[1])
+    at = (keys * len(spots[0]) + np.searchsorted(spots[0], row)) * wide + np.searchsorted(spots[1], col)
+
+    def beside(step: tuple[int, int]) -> np.ndarray:
+        want = at + step[0] * wide + step[1]
+        found = np.minimum(np.searchsorted(at, want), len(at) - 1)
+        return np.where(at[found] == want, found, -1)
+
+    near = {(i, j): beside((i, j)) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j}
+    here = np.arange(len(at))
+    free, follows, turns = (np.empty((len(at), 4), kind) for kind in (bool, np.int64, bool))
+    for k, (along, out) in enumerate(zip(ALONG, OUT, strict=True)):
+        corner, ahead = near[along[0] + out[0], along[1] + out[1]], near[along]
+        free[:, k] = near[out] < 0
+        follows[:, k] = np.where(corner >= 0, corner * 4 + (k + 3) % 4, np.where(ahead >= 0, ahead * 4 + k, here * 4 + (k + 1) % 4))
+        turns[:, k] = (corner >= 0) | (ahead < 0)
+    side = np.flatnonzero(free.ravel())
+    place = np.cumsum(free.ravel()) - 1
+    after, turn, cell = place[follows.ravel()[side]], turns.ravel()[side], side // 4
+    loop, left, far, length = np.arange(len(side)), np.zeros(len(side), np.int64), after, 1
+    while (lesser := loop[far] < loop).any():  # as ranked_loops
+        loop, left = np.where(lesser, loop[far], loop), np.where(lesser, left[far] + length, left)
+        far, length = far[far], length * 2
+    ends = turn.copy()
+    ends[after[turn]] = True
+    ends = np.flatnonzero(ends)
+    ends = ends[np.lexsort((np.where(left[ends] == 0, -(1 << 62), -left[ends]), loop[ends]))]
+
+    def firsts(v: np.ndarray) -> np.ndarray:
+        return np.r_[True, v[1:] != v[:-1]]
+
+    c, r, ring = col[cell[ends]], row[cell[ends]], loop[ends]
+    keep = firsts(ring) | firsts(c) | firsts(r)
+    c, r, ring = c[keep], r[keep], ring[keep]
+    begin = np.flatnonzero(firsts(ring))
+    last = np.r_[begin[1:], len(ring)] - 1
+    keep = np.ones(len(ring), bool)
+    keep[last[(last > begin) & (c[last] == c[begin]) & (r[last] == r[begin])]] = False
+    c, r, ring = c[keep], r[keep], ring[keep]
+    begin = np.flatnonzero(firsts(ring))
+    size = np.diff(np.r_[begin, len(ring)])
+    then = np.arange(len(ring)) + 1
+    then[begin + size - 1] = begin
+    twice = np.add.reduceat(c * r[then] - c[then] * r, begin)
+    owner = keys[cell[ring[begin]]]
+    best = np.lexsort((ring[begin], -twice, owner))
+    best = best[firsts(owner[best])]
+    chosen = np.repeat(begin[best], size[best]) + np.arange(size[best].sum()) - np.repeat(np.cumsum(size[best]) - size[best], size[best])
+    return owner[best], size[best], twice[best], c[chosen], r[chosen]
+
+
+def _task_outlines(own: DataFrame, key: str, rows: int = 1 << 18) -> DataFrame:
+    """``outlines`` of cells without nulls, repeats included, whose keys fit a task: about ``rows`` rows of whole keys are traced at once."""
+    kind = own.schema[key].dataType.simpleString()
+
+    def traced(table: pa.Table, codes: np.ndarray) -> pa.RecordBatch:
+        owner, size, twice, c, r = _traced(codes, table["row"].to_numpy(), table["col"].to_numpy())
+        points = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * 2), pa.array(np.stack([c, r], 1).astype(float).ravel()))
+        rings = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), points)
+        names = table[key].take(pa.array(np.searchsorted(codes, owner))).combine_chunks()
+        return pa.RecordBatch.from_arrays([names.chunk(0) if isinstance(names, pa.ChunkedArray) else names, rings, pa.array(twice / 2.0)], names=[key, "outline", "area"])
+
+    def coded(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        name = table[key].combine_chunks()
+        return table, (name.chunk(0) if isinstance(name, pa.ChunkedArray) else name).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= rows:
+                table, codes = coded(held)
+                whole = int(np.searchsorted(codes, codes[-1]))  # the last key may go on
+                if whole:
+                    yield traced(table.slice(0, whole), codes[:whole])
+                held = table.slice(whole).to_batches()
+                n = len(table) - whole
+        if n:
+            yield traced(*coded(held))
+
+    dealt = own.repartition(key).sortWithinPartitions(key)
+    return dealt.select(key, "row", "col").mapInArrow(run, f"`{key}` {kind}, outline array<array<double>>, area double")
+
+
+def outlines(cells: DataFrame, key: str, width: int, most: int = 200_000) -> DataFrame:
+    """``(key, outline, area)``: of each key's cells (``key, row, col``, columns below ``width``) the loop around the largest area.
+
+    The outline is an array of ``[col, row]`` through cell centres, from the loop's first side on, with a corner at every turn
+    of the border; the area is that within the centres, so regions one cell thick have 0. Equal areas: the loop of the least
+    side. Loops around holes enclose no area of the region and don't count. Rows with nulls take no part; repeats count once.
+    A key's corners are one array: its border's turns, not its cells. Keys of up to ``most`` rows are traced within a task.
+    """
+    own = cells.where(F.col(key).isNotNull() & F.col("row").isNotNull() & F.col("col").isNotNull()).select(key, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+    large = written(own.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(key), "large-keys")
+    if large.isEmpty():
+        return _task_outlines(own, key)
+    return _task_outlines(own.join(large, key, "left_anti"), key).unionByName(_jobs_outlines(own.join(large, key, "left_semi").distinct(), key, width))
+
+
 def polygons(cells: DataFrame, key: str, width: int, origin: tuple[float, float], size: float, epsilon: float) -> DataFrame:
     """``(key, polygon)``: outlines with few corners, in metres: deviations up to ``epsilon`` (a cell at least) go.
 

@@ -89,3 +89,21 @@ def test_outlines_of_half_a_metre_stay(wide, moves):
     walls = np.array([(r, 1) for r in range(11)])
     got = outlines.snapped(p, walls, (0.0, 0.0), 0.1, 2, 2, (100, 100))
     assert np.array_equal(got, p) != moves
+
+
+def test_outlines_within_tasks_and_by_jobs(spark, monkeypatch):
+    """Some keys fit a task, some don't; batches end amid keys, and no round is a job where all fit."""
+    rng = np.random.default_rng(8)
+    shapes = {f"r{k}": {(int(r), int(c)) for r, c in zip(*np.nonzero(rng.random((9, 11)) < 0.1 + k % 8 / 10), strict=True)} for k in range(40)}
+    rows = [(k, r, c) for k, s in shapes.items() for r, c in s]
+    df = spark.createDataFrame(rows + rows[::3], "room string, row long, col long")
+    own = outlines._task_outlines
+    monkeypatch.setattr(outlines, "_task_outlines", lambda cells, key: own(cells, key, 7))
+    for most in (0, 60, 1000):
+        if most == 1000:
+            monkeypatch.setattr(outlines, "ranked_loops", None)
+        got = {x["room"]: x for x in outlines.outlines(df, "room", 20, most).collect()}
+        assert got.keys() == {k for k, s in shapes.items() if s}
+        for k, x in got.items():
+            lost, _, path = walked(shapes[k])[0]
+            assert x["area"] == -lost / 2 and thinned([tuple(map(int, q)) for q in x["outline"]]) == thinned(path), k
